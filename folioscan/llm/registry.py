@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, decontam, mixing, ngram_join, sharding, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_token_files": token_files.op2_token_files,
         "op5_chat": chat.op5_chat,
         "op6_mixing": mixing.op6_mixing,
+        "op8_decontamination": decontam.op8_decontamination,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_sharding": sharding.op10_sharding,
     }
 
