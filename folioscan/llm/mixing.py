@@ -13,7 +13,8 @@ words is thus fixed to half a document, and reruns agree.
 
 No source is sorted as a whole: sizes are summed by 4,096 ranges of u first (a partial aggregate), only
 the range in which a source's target runs out is ranked, and its last document taken is the source's
-cut. Per source one row remains; rows meet it in an equi-join that Spark may broadcast by measured size.
+cut. Per source one row remains. That table is written and counted; it is broadcast if it has at most
+`broadcast_rows` rows and joined by shuffle otherwise.
 
 Defined cases: null or empty text has size 0 and is taken 0 times. Null source is a source of its own.
 A null id takes its u from the text. Rows with the same u, id and size are taken together. An empty table
@@ -28,17 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table
+from .common import WORD, materialise, table
 
 
 @dataclass(frozen=True)
 class Mix:
-    """weights: repeated over the sources; total: share of all words; most: copies of one document at most."""
+    """weights: repeated over the sources; total: share of all words; most: copies of one document at most; ranges: of u, summed before ranking; broadcast_rows: a table with more sources is joined by shuffle."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     total: float = 1.5
     most: int = 2
     ranges: int = 4096
+    broadcast_rows: int = 200_000
 
 
 def _u(doc_id: Column, text: Column) -> Column:
@@ -67,6 +69,12 @@ def source_targets(sized: DataFrame, mix: Mix) -> DataFrame:
     return done.select("source", "source_size", "target", "whole", (F.col("share") - F.col("whole")).alias("p"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 
+def _by_source(df: DataFrame, label: str, mix: Mix) -> DataFrame:
+    """A table of one row for each source, written; broadcast if its counted rows are few."""
+    df = materialise(df, label)
+    return F.broadcast(df) if df.count() <= mix.broadcast_rows else df
+
+
 def _rank(u: Column, p: Column) -> Column:
     return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
 
@@ -88,6 +96,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     edge = a.join(b, same).where((F.col("before") <= F.col("rest")) & (F.col("words") > 0))
     edge = edge.groupBy("b.source", "p", "rest").agg(F.max(F.struct("bucket", "before")).alias("at"))
     edge = edge.select(F.col("source").alias("e_source"), "p", "rest", F.col("at.bucket").alias("e_bucket"), F.col("at.before").alias("before"))
+    edge = _by_source(edge, "edge", mix)
 
     ranked = sized.select("*", bucket).join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
     ranked = ranked.withColumn("rank", _rank(F.col("u"), F.col("p"))).where("rank is not null and size > 0")
@@ -101,6 +110,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     cuts = targets.join(edge.select("e_source", "e_bucket"), F.col("source").eqNullSafe(F.col("e_source")), "left")
     cuts = cuts.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
     cuts = cuts.select(F.col("source").alias("m_source"), "source_size", "target", "whole", "p", "e_bucket", "cut")
+    cuts = _by_source(cuts, "cuts", mix)
     rows = docs.withColumn("size", size).join(cuts, F.col("source").eqNullSafe(F.col("m_source")))
     u = _u(F.col("doc_id"), F.col("text"))
     rank = _rank(u, F.col("p"))
