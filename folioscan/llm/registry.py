@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, ngram_join, sharding, token_files
+import corpus_pipeline
+
+from . import chat, decontam, mixing, ngram_join, sharding, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat": chat.op5_chat,
         "op6_mixing": mixing.op6_mixing,
         "op8_decontamination": decontam.op8_decontamination,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
