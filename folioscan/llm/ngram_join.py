@@ -13,7 +13,7 @@ Steps, each written to the shared folder:
 2. Each task collapses equal sets to one representative and sends each prefix shingle of the first order
    once, dealt by shingle hash. Receiving tasks sort in bounded buffers and keep shingles that two or more
    documents have, each row with the shingle's leader (one document that has it).
-3. Pairs (leader, document) that the length filter leaves are tested: prefixes of the other orders, then
+3. Pairs (leader, document) that the length and position filters leave are tested: prefixes of the other orders, then
    the exact overlap. Connected components over the links found so far.
 4. What may still join two components: pairs under a shared prefix shingle whose documents lie in
    different components, with the length and position filters. Documents outside a shingle's largest
@@ -43,14 +43,14 @@ from pyspark.sql.window import Window
 from .common import batches_of_texts, connected_components, lower_bytes, materialise, mix64, shingle_hashes, shuffle_partitions, table, unmix64, word_hashes
 
 ROW = "token long, doc long, n int, pos int"
-KEPT = "kind int, doc long, n int, lead long, lead_n int, token long, pos int"
+KEPT = "kind int, doc long, n int, lead long, near boolean, token long, pos int"
 #: pos of rows that are not postings.
 COPY, SET = -1, -2
 
 
 @dataclass(frozen=True)
 class Join:
-    """words in a shingle; link at percent % similarity or more; number of orders; log2 of the sketch's counters; prefix rows that a receiving task is meant for; rows it buffers before it compacts."""
+    """words in a shingle; link at percent % similarity or more; number of orders; log2 of the sketch's counters; prefix rows that a receiving task is meant for; rows it buffers before it compacts; log2 of the bit table that spares texts outside all pairs the journey."""
 
     words: int = 5
     percent: int = 75
@@ -58,6 +58,7 @@ class Join:
     sketch_bits: int = 20
     task_rows: int = 1_500_000
     buffer_rows: int = 4_000_000
+    mark_bits: int = 24
 
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
@@ -159,13 +160,13 @@ def _meet(join: Join):
     """Of the rows of a task, dealt by token: a row for each document, and those postings whose token two documents have."""
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind, doc, n, lead, lead_n, token, pos):
+        def out(kind, doc, n, lead, near, token, pos):
             if len(doc):
                 i32 = lambda x: pa.array(np.broadcast_to(x, len(doc)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([i32(kind), pa.array(doc), i32(n), pa.array(lead), i32(lead_n), pa.array(token), i32(pos)], names=["kind", "doc", "n", "lead", "lead_n", "token", "pos"])
+                yield pa.RecordBatch.from_arrays([i32(kind), pa.array(doc), i32(n), pa.array(lead), pa.array(np.broadcast_to(near, len(doc)), pa.bool_()), pa.array(token), i32(pos)], names=["kind", "doc", "n", "lead", "near", "token", "pos"])
 
-        def compact(rows: list[np.ndarray], told: np.ndarray):
-            """Sorted by (token, n, set mark or posting); yields what has met; returns a leader for each token and whether it was told."""
+        def compact(rows: list[np.ndarray], told: np.ndarray, last: bool = False):
+            """Sorted by (token, n, set mark or posting): what has met; a leader for each token and whether it was told. At last, lists of two that cannot link are left out."""
             token, doc, n, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
             group = np.where(pos <= SET, pos, 0)
             width = np.where(pos <= SET, n, 0)
@@ -177,11 +178,17 @@ def _meet(join: Join):
             size = np.diff(np.append(starts, len(token)))
             lead = np.repeat(starts, size)
             is_set = pos <= SET
-            show = ~told & (is_set | np.repeat(size > 1, size))
+            x, y, room = n.astype(np.int64), n[lead].astype(np.int64), np.minimum(n - pos, n[lead] - pos[lead]).astype(np.int64)
+            near = (np.minimum(x, y) * 100 >= np.maximum(x, y) * join.percent) & (room * (100 + join.percent) >= (x + y) * join.percent)
+            near &= np.arange(len(token)) != lead
+            live = size > 1
+            if last:
+                live &= (size > 2) | told[starts] | (np.add.reduceat(near, starts) > 0)
+            show = ~told & (is_set | np.repeat(live, size))
             said = []
             for kind, mask in ((0, show & is_set), (1, show & ~is_set)):
                 at = np.flatnonzero(mask)
-                said.append((kind, doc[at], n[at], doc[lead[at]], n[lead[at]], token[at], pos[at]))
+                said.append((kind, doc[at], n[at], doc[lead[at]], near[at], token[at], pos[at]))
             told[starts] |= show[starts]
             return said, (token[starts], doc[starts], n[starts], pos[starts]), told[starts]
 
@@ -191,7 +198,7 @@ def _meet(join: Join):
             copy = x[3] == COPY
             if copy.any():
                 own = unmix64(x[0][copy].view(np.uint64)).view(np.int64)
-                yield from out(0, own, x[2][copy], x[1][copy], x[2][copy], x[0][copy], COPY)
+                yield from out(0, own, x[2][copy], x[1][copy], False, x[0][copy], COPY)
                 x = tuple(c[~copy] for c in x)
             rows.append(x)
             told.append(np.zeros(len(x[0]), dtype=bool))
@@ -203,7 +210,7 @@ def _meet(join: Join):
                 rows, told, held = [kept], [known], len(kept[0])
                 floor = held
         if held:
-            for s in compact(rows, np.concatenate(told))[0]:
+            for s in compact(rows, np.concatenate(told), last=True)[0]:
                 yield from out(*s)
 
     return receive
@@ -213,33 +220,66 @@ def _long_enough(a: str, b: str, join: Join):
     return F.least(a, b) * 100 >= F.greatest(a, b) * join.percent
 
 
+def _marks(pairs: DataFrame, join: Join) -> np.ndarray:
+    """A bit table of fixed size in which every document of pairs has its bit set."""
+    size, part = 1 << join.mark_bits, 1 << 15
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            order = np.unique(at)
+            for k in np.unique(order // part).tolist():
+                mine = order[order // part == k] - k * part
+                parts.setdefault(k, np.zeros(part, dtype=bool))[mine] = True
+        if parts:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int64()), "bits": pa.array([zlib.compress(np.packbits(b).tobytes(), 1) for b in parts.values()], pa.binary())})
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    dealt = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place")).distinct().repartition(shuffle_partitions(pairs.sparkSession), F.floor(F.col("place") / part))
+    table = np.zeros(size, dtype=bool)
+    for row in dealt.mapInArrow(fold, "part long, bits binary").collect():  # 2^mark_bits bits at most
+        table[row["part"] * part : (row["part"] + 1) * part] |= np.unpackbits(np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)).astype(bool)
+    return np.packbits(table)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, bands, join: Join) -> DataFrame:
-    """Those of pairs(a, b) that link. Sets are made once for each document in a pair."""
+    """Those of pairs(a, b) that link. Only texts in a pair travel (a bit table of fixed size tells most of them), compressed."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(pairs, join))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches_of_texts(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([shingle_set(t, join.words).tobytes() for t in texts[a:b]], pa.binary())], names=["doc", "set"])
+            place = batch.column(2).to_numpy()
+            at = np.flatnonzero(marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+            ids, texts = batch.column(0), batch.column(1)
+            rows = dict.fromkeys((ids[k].as_py(), lower_bytes(texts[k].as_py())) for k in at.tolist())
+            yield pa.RecordBatch.from_pydict({"doc": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([zip_.compress(t) for _, t in rows], pa.binary())})
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        sets = lambda column, k: np.unique(shingle_hashes(word_hashes(unzip.decompress(column[k].as_py())), join.words))
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2), batch.column(3)
-            keep = []
+            keep, last, x = [], None, None
             for k in range(len(a)):
-                x, y = (np.frombuffer(s[k].as_buffer(), dtype=np.uint64) for s in (left, right))
+                if a[k] != last or batch.column(2)[k] != batch.column(2)[k - 1]:
+                    last, x = a[k], sets(batch.column(2), k)
+                y = sets(batch.column(3), k)
                 if all(len(np.intersect1d(prefix_of(x, bands.value, o, join), prefix_of(y, bands.value, o, join), assume_unique=True)) for o in range(2, join.orders + 1)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= join.percent * (len(x) + len(y) - both):
                         keep.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[k] for k in keep], pa.int64()), "b": pa.array([b[k] for k in keep], pa.int64())})
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    made = materialise(texts.mapInArrow(sets, "doc long, set binary"), "sets").dropDuplicates(["doc", "set"])
-    left = pairs.join(made.select(F.col("doc").alias("a"), F.col("set").alias("left")), "a")
-    both = left.join(made.select(F.col("doc").alias("b"), F.col("set").alias("right")), "b")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << join.mark_bits)).alias("place")
+    made = materialise(docs.where("doc_id is not null and text is not null").select("doc_id", "text", place).mapInArrow(press, "doc long, text binary"), "texts")
+    left = pairs.join(made.select(F.col("doc").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(made.select(F.col("doc").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(test, "a long, b long").distinct()
 
 
@@ -253,8 +293,8 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     met = materialise(_postings(docs, bands, join).repartition(tasks, "token").mapInArrow(_meet(join), KEPT), "met")
 
     members = met.where("kind = 0").select("doc", "n", "lead")
-    posts = met.where("kind = 1").select("token", "doc", "n", "pos", "lead", "lead_n")
-    star = posts.where("doc <> lead").where(_long_enough("n", "lead_n", join)).select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+    posts = met.where("kind = 1").select("token", "doc", "n", "pos", "lead", "near")
+    star = posts.where("near and doc <> lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
     star = materialise(star, "star")
     links = materialise(_verified(docs, star, bands, join), "links")
     # Equal sets hang on their representatives: of a task, then of all tasks.
