@@ -18,7 +18,7 @@ Files go to the shared folder by pyarrow's file systems, so to hdfs, s3, gs or a
 
 Tokenising: the tokenizers library splits a text into words, which do not influence each other. Texts in
 Latin-1 are normalised and split here by the same rules and each distinct word is encoded by the library
-once for each task (a bounded memory of words); all other texts, and texts with a special token's mark, are
+once for each Python worker (a bounded memory of words); all other texts, and texts with a special token's mark, are
 encoded whole by the library. Both give the same ids.
 
 Defined cases: null or empty text is a document with the end id alone. Ties and repeated rows are each
@@ -51,12 +51,12 @@ NO_ID = -(1 << 63)
 
 @dataclass(frozen=True)
 class Tokens:
-    """vocabulary: path of a tokenizer file (None: the public word_bpe_49k.json). end_id: appended to each document. level: of zstandard. words: distinct words a task remembers."""
+    """vocabulary: path of a tokenizer file (None: the public word_bpe_49k.json). end_id: appended to each document. level: of zstandard. words: distinct words a Python worker remembers."""
 
     vocabulary: str | None = None
     end_id: int = 1
     level: int = 1
-    words: int = 1 << 19
+    words: int = 1 << 20
 
     def path(self) -> str:
         if self.vocabulary:
@@ -115,6 +115,17 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[Tokens, Encoder] = {}
+
+
+def encoder_of(tokens: Tokens) -> Encoder:
+    """This Python worker's encoder: later tasks of the worker find its words known."""
+    if tokens not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokens] = Encoder(tokens)
+    return _ENCODERS[tokens]
+
+
 def file_system(uri: str):
     from pyarrow import fs
 
@@ -140,7 +151,7 @@ def write_files(docs: DataFrame, folder: str, tokens: Tokens = Tokens()) -> Data
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, press = Encoder(tokens), zstandard.ZstdCompressor(level=tokens.level, write_checksum=True)
+        encoder, press = encoder_of(tokens), zstandard.ZstdCompressor(level=tokens.level, write_checksum=True)
         target, sink, entries, name = None, None, [], f"tokens-{part:06d}-{uuid.uuid4().hex[:8]}.fst"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
