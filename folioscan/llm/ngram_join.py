@@ -8,8 +8,8 @@ a candidate only if its prefixes meet under every order; then the sets are compa
 
 Steps, each written to the shared folder:
 
-1. Count all shingles into a sketch of 2^20 counters (its size is a parameter; any error in it only makes
-   an order less good, never wrong). Its bands are broadcast: 1 MB.
+1. Count all shingles into a sketch, one counter for about four shingles, 2^25 counters at most (a
+   parameter; any error in it only makes an order less good, never wrong). Its bands, a byte each, are broadcast.
 2. Each task collapses equal sets to one representative and sends each prefix shingle of the first order
    once, dealt by shingle hash. Receiving tasks sort in bounded buffers and keep shingles that two or more
    documents have, each row with the shingle's leader (one document that has it).
@@ -50,12 +50,12 @@ COPY, SET = -1, -2
 
 @dataclass(frozen=True)
 class Join:
-    """words in a shingle; link at percent % similarity or more; number of orders; log2 of the sketch's counters; prefix rows that a receiving task is meant for; rows it buffers before it compacts; log2 of the bit table that spares texts outside all pairs the journey."""
+    """words in a shingle; link at percent % similarity or more; number of orders; log2 of the sketch's counters at most; prefix rows that a receiving task is meant for; rows it buffers before it compacts; log2 of the bit table that spares texts outside all pairs the journey."""
 
     words: int = 5
     percent: int = 75
     orders: int = 3
-    sketch_bits: int = 20
+    most_bits: int = 25
     task_rows: int = 1_500_000
     buffer_rows: int = 4_000_000
     mark_bits: int = 24
@@ -69,15 +69,15 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(lower_bytes(text)), words))
 
 
-def order_keys(tokens: np.ndarray, bands: np.ndarray, order: int, bits: int) -> np.ndarray:
+def order_keys(tokens: np.ndarray, bands: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of shingles in one of the global orders: the band of commonness, then a seeded hash."""
     seeded = mix64(tokens ^ np.uint64(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return bands[(tokens >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | seeded >> np.uint64(6)
+    return bands[(tokens >> np.uint64(65 - len(bands).bit_length())).astype(np.int64)].astype(np.uint64) << np.uint64(58) | seeded >> np.uint64(6)
 
 
 def prefix_of(tokens: np.ndarray, bands: np.ndarray, order: int, join: Join) -> np.ndarray:
     """The prefix of a set in one order, first shingle first."""
-    keys = order_keys(tokens, bands, order, join.sketch_bits)
+    keys = order_keys(tokens, bands, order)
     k = join.prefix(len(tokens))
     if k < len(tokens):
         least = np.argpartition(keys, k - 1)[:k]
@@ -86,39 +86,71 @@ def prefix_of(tokens: np.ndarray, bands: np.ndarray, order: int, join: Join) ->
 
 
 def _sketch(docs: DataFrame, join: Join) -> tuple[np.ndarray, int]:
-    """(band of each counter, number of shingles)."""
-    bits, part = join.sketch_bits, 1 << 12
+    """(band of each counter, number of shingles). Shingles are counted by their leading `most_bits` bits; with the total known, counters are added together until one holds about four shingles of no importance."""
+    bits, parts = join.most_bits, 1 << 9
+    width = (1 << bits) // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+            at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(at, kind="stable")
+            at, n = at[order], n[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            return at[first], np.add.reduceat(n, first)
+
+        def out(held: list) -> pa.RecordBatch:
+            at, n = merged(held)
+            edges = np.searchsorted(at, np.arange(parts + 1, dtype=np.int64) * width)
+            some = np.flatnonzero(edges[1:] > edges[:-1])
+            blobs = [zlib.compress((at[edges[k] : edges[k + 1]] - np.uint32(k * width)).astype("<u4").tobytes() + n[edges[k] : edges[k + 1]].astype("<u4").tobytes(), 1) for k in some]
+            return pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "counts": pa.array(blobs, pa.binary())})
+
+        held, rows = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in batches_of_texts(texts):
                 found = [shingle_hashes(word_hashes(lower_bytes(t)), join.words) for t in texts[a:b]]
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if total.any():
-            parts = total.reshape(-1, part)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
+                at, n = np.unique((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                if len(at):
+                    held.append((at, n))
+                    rows += len(at)
+            if rows > 8_000_000:
+                yield out(held)
+                held, rows = [], 0
+        if held:
+            yield out(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(blob), dtype=np.int64)
-                sums[k] = sums[k] + counts if k in sums else counts
+                data = np.frombuffer(zlib.decompress(blob), dtype="<u4")
+                at, n = data[: len(data) // 2], data[len(data) // 2 :]
+                if k not in sums:
+                    sums[k] = np.zeros(width, dtype=np.int64)
+                sums[k][at] += n
         if sums:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "total": pa.array([int(c.sum()) for c in sums.values()], pa.int64()), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())})
 
     spread = docs.select("text").mapInArrow(count, "part int, counts binary")
-    summed = spread.repartition(shuffle_partitions(docs.sparkSession), "part").mapInArrow(add, "part int, counts binary")
-    total = np.zeros((1 << bits) // part * part, dtype=np.int64).reshape(-1, part)
-    for row in summed.collect():  # 2^sketch_bits counters at most
-        total[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-    total = total.reshape(-1)
-    mean = total.mean()
-    excess = (total - mean) / np.sqrt(mean + 1) / 6
-    bands = np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).clip(0, 31).astype(np.uint8)
-    return bands, int(total.sum())
+    summed = materialise(spread.repartition(shuffle_partitions(docs.sparkSession), "part").mapInArrow(add, "part int, total long, counts binary"), "counts")
+    total = summed.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    kept = min(bits, max(9, (total // 4).bit_length()))
+    mean = total / (1 << kept)
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for blob in batch.column(1).to_pylist():
+                c = np.frombuffer(zlib.decompress(blob), dtype=np.int64).reshape(-1, 1 << (bits - kept)).sum(axis=1)
+                excess = (c - mean) / np.sqrt(mean + 1) / 4
+                blobs.append(zlib.compress(np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).clip(0, 31).astype(np.uint8).tobytes(), 1))
+            yield pa.RecordBatch.from_pydict({"part": batch.column(0), "bands": pa.array(blobs, pa.binary())})
+
+    bands = np.zeros((parts, (1 << kept) // parts), dtype=np.uint8)
+    for row in summed.select("part", "counts").mapInArrow(band, "part int, bands binary").collect():  # 2^most_bits bytes at most
+        bands[row["part"]] = np.frombuffer(zlib.decompress(row["bands"]), dtype=np.uint8)
+    return bands.reshape(-1), int(total)
 
 
 def _postings(docs: DataFrame, bands, join: Join) -> DataFrame:
