@@ -32,25 +32,22 @@ def auto_schema(classes: DataFrame) -> DataFrame:
     return classes.select("document_id", F.coalesce(F.try_element_at(F.filter(named, lambda x: x.isNotNull()), F.lit(1)), F.lit("table")).alias("schema_id"))
 
 
-def _from_text(text: Column, name: str) -> tuple[Column, Column]:
-    """(raw value, index of the label variant) by the first variant with a value."""
-    found = []
-    for k, label in enumerate(label_variants(name)):
-        raw = F.regexp_replace(strip(F.regexp_extract(text, label_pattern(label), 1)), "[;,]+$", "")
-        found.append(F.when(raw != "", F.struct(raw.alias("raw"), F.lit(k).alias("k"))))
-    best = F.coalesce(*found)
-    return best["raw"], best["k"]
-
-
 def text_fields(blocks: DataFrame, schema: Schema, tables: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """Every field of the schema for every document with blocks: after its label in the text, else below it in a table."""
+    """Every field of the schema for every document with blocks: after its label in the text (the first variant with a value), else below it in a table.
+
+    Fields and label patterns are one literal array, walked by higher-order functions, so the plan's code does not grow with the schema."""
     texts = graph.document_texts(blocks)
-    entries = []
-    for k, f in enumerate(schema.fields):
-        raw, variant = _from_text(F.col("text"), f.name)
-        kind, number = coerce(raw, f.field_type)
-        entries.append(F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), kind.alias("value_kind"), raw.alias("value_str"), number.alias("value_num"), F.when(raw.isNull(), 0.0).when(variant == 0, 0.85).otherwise(0.6).alias("confidence")))
-    out = texts.select("document_id", F.explode(F.array(*entries)).alias("e")).select("document_id", F.lit(schema.id).alias("schema_id"), "e.*")
+    wanted = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"), F.array(*[F.lit(label_pattern(v)) for v in label_variants(f.name)]).alias("patterns")) for k, f in enumerate(schema.fields)])
+
+    def found(f: Column) -> Column:
+        raws = F.transform(f["patterns"], lambda p, k: F.struct(F.regexp_replace(strip(F.call_function("regexp_extract", F.col("text"), p, F.lit(1))), "[;,]+$", "").alias("raw"), k.alias("k")))
+        return F.struct(f["ordinal"].alias("ordinal"), f["field_path"].alias("field_path"), f["field_type"].alias("field_type"), F.try_element_at(F.filter(raws, lambda r: r["raw"] != ""), F.lit(1)).alias("best"))
+
+    rows = texts.select("document_id", F.explode(F.transform(wanted, found)).alias("e")).select("document_id", "e.ordinal", "e.field_path", "e.field_type", F.col("e.best.raw").alias("value_str"), F.col("e.best.k").alias("k"))
+    raw = F.col("value_str")
+    number = F.when(F.col("field_type").isin("number", "currency"), coerce(raw, "number")[1]).when(F.col("field_type") == "integer", coerce(raw, "integer")[1])
+    kind = F.when(raw.isNull(), "null").when(number.isNotNull(), "number").otherwise("string")
+    out = rows.select("document_id", F.lit(schema.id).alias("schema_id"), "ordinal", "field_path", kind.alias("value_kind"), "value_str", number.alias("value_num"), F.when(raw.isNull(), 0.0).when(F.col("k") == 0, 0.85).otherwise(0.6).alias("confidence"))
     out = out.withColumn("value_list", F.lit(None).cast("array<string>")).withColumn("citation", F.when(F.col("value_kind") != "null", "text"))
     if tables is not None and cells is not None:
         cols = column_values(tables, cells, schema).select("document_id", "field_path", F.col("value_list").alias("t_list"))

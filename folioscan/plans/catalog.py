@@ -434,8 +434,8 @@ def chunk_fixed(c: Corpora) -> DataFrame:
                CASE WHEN CASE WHEN w.out IS NULL THEN w.size ELSE length(w.last) END + length(p.text) >= 400
                     THEN CASE WHEN w.out IS NULL THEN w.cur || chr(10) || p.text WHEN w.last = '' THEN p.text ELSE w.last || chr(10) || p.text END END
         FROM walk w JOIN placed p ON p.document_id = w.document_id AND p.seg = w.seg AND p.k = w.k + 1),
-    emitted AS (SELECT document_id, seg, k AS at, out AS t FROM walk WHERE out IS NOT NULL UNION ALL SELECT document_id, seg, k + 1, CASE WHEN out IS NULL THEN cur ELSE last END FROM walk WHERE k = n)
-    SELECT document_id, seg::BIGINT AS segment, (row_number() OVER (PARTITION BY document_id, seg ORDER BY at) - 1)::INT AS ordinal, {STRIP.format('t')} AS text, greatest(1, length({STRIP.format('t')}) // 4)::INT AS token_count FROM emitted WHERE {STRIP.format('t')} <> ''""")
+    emitted AS (SELECT document_id, seg, k AS turn, out AS t FROM walk WHERE out IS NOT NULL UNION ALL SELECT document_id, seg, k + 1, CASE WHEN out IS NULL THEN cur ELSE last END FROM walk WHERE k = n)
+    SELECT document_id, seg::BIGINT AS segment, (row_number() OVER (PARTITION BY document_id, seg ORDER BY turn) - 1)::INT AS ordinal, {STRIP.format('t')} AS text, greatest(1, length({STRIP.format('t')}) // 4)::INT AS token_count FROM emitted WHERE {STRIP.format('t')} <> ''""")
 def chunk_section(c: Corpora) -> DataFrame:
     return chunk.section_aware(c.blocks, c.sections, chunk.Chunking(max_chunk_size=100)).select("document_id", "segment", "ordinal", "text", "token_count")
 
@@ -569,8 +569,7 @@ def column_types(c: Corpora) -> DataFrame:
 
 @query(f"""WITH {_KEYWORDY}, t AS ({_classify_sql('seeded')}) SELECT document_id, CASE WHEN contains(types, 'invoice') THEN 'invoice' WHEN contains(types, 'contract') THEN 'contract' ELSE 'table' END AS schema_id FROM t""")
 def schema_autodetect(c: Corpora) -> DataFrame:
-    types = F.split(classify_keywords(c)["types"], "\\|")
-    return extract.auto_schema(classify_keywords(c).select("document_id", types.alias("likely_document_types")))
+    return extract.auto_schema(classify_keywords(c).select("document_id", F.split("types", "\\|").alias("likely_document_types")))
 
 
 # Schemas
@@ -625,9 +624,9 @@ def validate_citations(c: Corpora) -> DataFrame:
     return validate.citations(fields).select("document_id", "field", "message")
 
 
-@query(f"WITH {_FIELDS} SELECT document_id, field_path AS field, 'Low confidence 0.30' AS message FROM fields WHERE value_kind <> 'null' AND confidence = 0.6")
+@query(f"WITH {_FIELDS} SELECT document_id, field_path AS field, 'Low confidence 0.30' AS message FROM fields WHERE value_kind <> 'null' AND ordinal = 7")
 def validate_confidence(c: Corpora) -> DataFrame:
-    fields = _fields(c).withColumn("confidence", F.when(F.col("confidence") == 0.6, 0.3).otherwise(F.col("confidence")))
+    fields = _fields(c).withColumn("confidence", F.when(F.col("ordinal") == 7, 0.3).otherwise(F.col("confidence")))
     return validate.low_confidence(fields).select("document_id", "field", "message")
 
 
