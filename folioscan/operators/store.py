@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Store:
@@ -21,34 +25,47 @@ class Store:
     def save(self, name: str, rows: DataFrame) -> None:
         """Adds rows; the rows of the same documents that are there are replaced. Only folders that hold such documents are rewritten."""
         new = rows.withColumn("bucket", self._bucket(F.col("document_id")))
-        try:
-            old = self.spark.read.parquet(self.path(name))
-        except Exception as e:  # the first save
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
+        known = self._schema(name)
+        old = self.spark.read.schema(known).parquet(self.path(name)) if known else None
         if old is not None:
             ids = new.select("document_id", "bucket").distinct()
             touched = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most `buckets` numbers
             kept = old.where(F.col("bucket").isin(touched)).join(ids, ["document_id", "bucket"], "left_anti")
             new = kept.select(new.columns).unionByName(new)
             new = new.checkpoint() if self.spark.sparkContext.getCheckpointDir() else new.cache()
+        if known is None:
+            self.spark.createDataFrame([(new.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/schemas/{name}")
         new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(name))
 
+    def _schema(self, name: str) -> StructType | None:
+        """The kept schema of a table, so that empty tables can be read; None before the first save."""
+        try:
+            return StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/schemas/{name}").first()[0]))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def _read(self, name: str) -> DataFrame:
+        known = self._schema(name)
+        if known is None:
+            raise ValueError(f"no table {name} in {self.folder}")
+        return self.spark.read.schema(known).parquet(self.path(name))
+
     def load(self, name: str, document_id: str | None = None) -> DataFrame:
         """All rows, or those of one document: one folder is read."""
-        rows = self.spark.read.parquet(self.path(name))
+        rows = self._read(name)
         if document_id is not None:
             bucket = self.spark.range(1).select(self._bucket(F.lit(document_id))).first()[0]
             rows = rows.where((F.col("bucket") == bucket) & (F.col("document_id") == document_id))
         return rows.drop("bucket")
 
     def ids(self, name: str = "documents") -> DataFrame:
-        return self.spark.read.parquet(self.path(name)).select("document_id").distinct()
+        return self._read(name).select("document_id").distinct()
 
     def delete(self, name: str, document_id: str) -> bool:
         """Whether the document was there; its folder is rewritten without it."""
-        rows = self.spark.read.parquet(self.path(name))
+        rows = self._read(name)
         bucket = self.spark.range(1).select(self._bucket(F.lit(document_id))).first()[0]
         mine = rows.where(F.col("bucket") == bucket)
         if mine.where(F.col("document_id") == document_id).isEmpty():
