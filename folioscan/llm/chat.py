@@ -5,7 +5,7 @@ r"""Chat formatting with a grammar round trip, DataFrame operations only.
 A turn is rendered as it stands, reparsed by the grammar and compared with its source; where the two
 differ, its conflicting content is escaped and it is rendered and compared again. Escaping puts a
 backslash before every backslash, into the two control strings ("</turn>" -> "<\/turn>",
-"### " -> "#\## ") and, in a role, before every colon; reading a backslash gives the character after
+"### " -> "#\## ") and, in a role, into ": " (":\ "); reading a backslash gives the character after
 it. Escaped text holds no control string, so the parser needs no state: split at the end mark, then at
 the first ": ". Escaping changes only what conflicts, so one step reaches the fixed point; a turn that
 still differed would stop the query rather than pass.
@@ -37,7 +37,7 @@ def _escaped(text: Column) -> Column:
 
 
 def _escaped_role(role: Column) -> Column:
-    return F.replace(_escaped(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(_escaped(role), F.lit(": "), F.lit(":\\ "))
 
 
 def unescaped(text: Column) -> Column:
@@ -118,7 +118,7 @@ ORACLE = r"""
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
     shown AS (
-        SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), ':', '\:'))
+        SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), ': ', ':\ '))
                 + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) + 14 AS width FROM rows)
     SELECT conv_id, count(*)::BIGINT AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
