@@ -22,6 +22,7 @@ repeated rows get equal scores; an empty table gives no rows. Only the columns n
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -57,23 +58,25 @@ class Toxic:
     least_docs: int = 3
     least_weight: float = 1.2
     near: int = 6
-    remembered: int = 400_000
+    remembered: int = 200_000
 
 
 class Lexicon:
     def __init__(self, texts: list[str], labels: np.ndarray, p: Toxic):
         toxic, other = Counter(), Counter()
-        for text, y in zip(texts, labels, strict=True):
-            words = set(WORDS.findall(text.lower()))
-            (toxic if y else other).update(words | {(w[:n],) for w in words for n in STEMS if len(w) >= n})
+        keys = lambda text: (w for word in set(WORDS.findall(text.lower())) for w in (word, *((word[:n],) for n in STEMS if len(word) >= n)))
+        for text in itertools.compress(texts, labels):
+            toxic.update(set(keys(text)))
+        toxic = Counter({w: t for w, t in toxic.items() if t >= p.least_docs})
+        for text in itertools.compress(texts, 1 - labels):  # only what may enter the lexicon is counted
+            other.update({w for w in keys(text) if w in toxic})
         n, m = float(labels.sum()), float(len(labels) - labels.sum())
         self.weights: dict = {}
         for w, t in toxic.items():
-            if t >= p.least_docs:
-                weight = math.log((t + 0.5) / (n + 1)) - math.log((other[w] + 0.5) / (m + 1))
-                expected = other[w] * n / max(m, 1.0)
-                if weight >= p.least_weight and t - expected >= 3.5 * math.sqrt(expected + 1):
-                    self.weights[w] = weight
+            weight = math.log((t + 0.5) / (n + 1)) - math.log((other[w] + 0.5) / (m + 1))
+            expected = other[w] * n / max(m, 1.0)
+            if weight >= p.least_weight and t - expected >= 3.5 * math.sqrt(expected + 1):
+                self.weights[w] = weight
         self.known: dict[str, tuple[float, float]] = {}
         self.p = p
 
