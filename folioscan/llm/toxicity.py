@@ -49,7 +49,7 @@ NAMES = ("log_words", "word_density", "log_word_hits", "distinct_words", "stem_d
 class Toxic:
     """max_rows: bound of the labelled sample; rounds, depth, rate, bins, leaf: of the trees; least_docs: toxic rows that a lexicon entry needs; least_weight: its log odds; near: words to a second-person word."""
 
-    max_rows: int = 12_000
+    max_rows: int = 6_000
     rounds: int = 60
     depth: int = 4
     rate: float = 0.15
