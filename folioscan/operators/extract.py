@@ -146,6 +146,28 @@ def data_tables(tables: DataFrame, cells: DataFrame) -> DataFrame:
     return best.join(columns, "document_id", "left").select("document_id", F.coalesce("title", "sheet_name", F.lit("Table 1")).alias("table_name"), "columns", (F.col("row_count") - 1).alias("row_count"))
 
 
+def data_table_fields(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """table_name, columns, rows and row_count of the largest table of each document, as extraction fields; rows are JSON objects by header."""
+    best = largest_tables(tables)
+    about = data_tables(tables, cells)
+    mine = cells.join(best.select("document_id", "table_id"), ["document_id", "table_id"], "left_semi")
+    grid = graph.grids(mine, tables.join(best.select("document_id", "table_id"), ["document_id", "table_id"], "left_semi"))
+    heads = grid.where("row_index = 0").select("document_id", F.col("row").alias("head"))
+    item = F.to_json(F.map_from_entries(F.array_distinct(F.arrays_zip("head", "row"))))
+    rows = graph.in_order(grid.where("row_index > 0").join(heads, "document_id"), ["document_id"], ["row_index"], item, "rows")
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    field = lambda k, name, kind, text, number, values, conf, cite: F.struct(F.lit(k).alias("ordinal"), F.lit(name).alias("field_path"), F.lit(kind).alias("value_kind"), text.alias("value_str"), number.alias("value_num"), values.alias("value_list"), F.lit(conf).alias("confidence"), F.lit(cite).cast("string").alias("citation"))
+    columns = F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"]))
+    entries = F.array(
+        field(0, "table_name", "string", F.col("table_name"), F.lit(None).cast("double"), F.lit(None).cast("array<string>"), 0.9, None),
+        field(1, "columns", "list", none, F.lit(None).cast("double"), F.coalesce(columns, empty), 0.9, "table"),
+        field(2, "rows", "list", none, F.lit(None).cast("double"), F.coalesce("rows", empty), 0.9, "table"),
+        field(3, "row_count", "number", F.col("row_count").cast("string"), F.col("row_count").cast("double"), F.lit(None).cast("array<string>"), 1.0, None),
+    )
+    out = about.join(rows, "document_id", "left").select("document_id", F.explode(entries).alias("e"))
+    return out.select("document_id", F.lit("data_table").alias("schema_id"), "e.*").select(*[c.split()[0] for c in FIELDS.split(", ")])
+
+
 def confidence(fields: DataFrame) -> DataFrame:
     """One row an extraction: mean confidence of its fields (zeros count) and its values as a map, the last of equal names."""
     shown = F.coalesce(F.array_join("value_list", "|"), "value_str")

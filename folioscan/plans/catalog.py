@@ -641,7 +641,7 @@ def validate_arithmetic(c: Corpora) -> DataFrame:
 @query(f"""WITH {_ARITHMETIC}, nulls AS (SELECT document_id, count(*) FILTER (value_kind = 'null' AND field_path IN ({_NEEDED})) AS e FROM fields GROUP BY document_id)
     SELECT document_id, e + (abs(s + x - t) > 0.01)::INT = 0 AS passed, (e + (abs(s + x - t) > 0.01)::INT)::BIGINT AS errors, 0::BIGINT AS warnings FROM nulls JOIN sums USING (document_id)""")
 def validate_summary(c: Corpora) -> DataFrame:
-    fields = _fields(c)
+    fields = _fields(c).persist()  # five rules read it
     return validate.passed(validate.validate(fields, _schema_fields(c)), fields.select("document_id").distinct())
 
 

@@ -42,8 +42,10 @@ class Engine:
         self.tables = {name: self.store.load(name) for name in names}
         return self
 
-    def _t(self, name: str, ids: list[str] | None = None) -> DataFrame:
+    def _t(self, name: str, ids: list[str] | DataFrame | None = None) -> DataFrame:
         rows = self.tables[name]
+        if isinstance(ids, DataFrame):
+            return rows.join(ids.select("document_id").distinct(), "document_id", "left_semi")
         return rows.where(F.col("document_id").isin(*ids)) if ids else rows
 
     # Ask
@@ -95,14 +97,23 @@ class Engine:
 
     # Extract, validate, export
 
-    def extract(self, schema: str | dict, ids: list[str] | None = None) -> DataFrame:
-        """Fields of a schema (an id or a JSON Schema) for every document: labels in paged ones, neighbours in workbooks."""
+    def extract(self, schema: str | dict | None = None, ids: list[str] | DataFrame | None = None) -> DataFrame:
+        """Fields of a schema (an id or a JSON Schema) for every document: labels in paged ones, neighbours in workbooks. Without a schema each document gets the one that fits its likely type."""
+        if schema is None:
+            chosen = extract.auto_schema(self.classes(ids))
+            parts = [self.extract(s, chosen.where(F.col("schema_id") == s).select("document_id")) for s in sorted({*schemas.AUTO.values(), "table"})]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
         found = self.registry.from_json_schema(schema) if isinstance(schema, dict) else self.registry.get(schema)
         if found is None:
-            raise ValueError(f"unknown schema {schema!r}")
+            raise ValueError(f"unknown schema {schema!r}; known are {', '.join(self.registry.ids())}")
         t = lambda n: self._t(n, ids)
         if found.id == "register_spec":
             return extract.register_fields(t("text_blocks"), t("tables"), t("table_cells"))
+        if found.id == "data_table":
+            return extract.data_table_fields(t("tables"), t("table_cells"))
         paged = extract.text_fields(t("text_blocks"), found, t("tables").where("page_number is not null"), t("table_cells"))
         return paged.unionByName(extract.adjacent_fields(t("sheets"), t("tables"), t("table_cells"), found))
 

@@ -127,6 +127,11 @@ def test_folder_to_answers(spark, tmp_path):
             engine.chunk(bad)
     with pytest.raises(ValueError):
         engine.export(fields, "xml")
+    auto = {(r["document_id"], r["schema_id"]) for r in engine.extract().collect()}
+    assert (ids["b.xlsx"], "financial_model") in auto or (ids["a.docx"], "table") in auto
+    table = {r["field_path"]: r for r in engine.extract("data_table", [ids["c.csv"]]).collect()}
+    assert table["columns"]["value_list"] == ["product:string", "revenue:integer"] and table["row_count"]["value_num"] == 1
+    assert table["rows"]["value_list"] == ['{"product":"Widget","revenue":"5"}']
     store = engine.store
     assert store.load("documents", ids["c.csv"]).count() == 1
     assert store.delete("documents", ids["c.csv"]) and not store.delete("documents", ids["c.csv"])
