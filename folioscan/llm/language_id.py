@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches_of_texts, held_out, mix64, table
+from .common import batches_of_texts, held_out, materialise, mix64, table
 
 BITS = 12  # of a symbol; five of them fit a key
 UNKNOWN = (1 << BITS) - 1
@@ -230,9 +230,13 @@ def fitted(docs: DataFrame, p: Languages = Languages()) -> Models:
     """Models from at most max_rows rows with text and language outside the test fold."""
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    count = max(1, ids.select("lang").distinct().count())
+    counts = materialise(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = max(1, p.max_rows // max(1, counts.count()))
+    # The smallest hashes of a language: first all below a bound that twice as many pass, so that no task ranks a whole language.
+    bound = (F.least(F.lit(1.0), (2 * share + 100) / F.col("n")) * 2 - 1) * float(1 << 63)
+    few = ids.join(counts, "lang").where(F.col("h") <= bound)
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= max(1, p.max_rows // count)).select("doc_id", "lang", "h").distinct()
+    chosen = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= share).select("doc_id", "lang", "h").distinct()
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text", "h").collect()
     return Models([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))], p)
 
