@@ -10,7 +10,8 @@ ids and the id within the class, so that a token costs 128 outputs instead of 4,
 biases start at the corpus frequencies, so an untrained network is the unigram model.
 
 Training is data-parallel: in each round every task starts from the broadcast weights, learns from every document of its
-share (every `stride`-th position, another residue each round) by Adagrad in small batches, and sends its weights
+share (every `stride`-th position of a text, another residue each round; as many rounds as `stride`, so that each token is a
+target once) by Adagrad in small batches, and sends its weights
 times its tokens, as integers in slices, so that sums do not depend on the order of tasks. Tasks that add the slices hold one sum
 each; the driver gets one set of weights (about 1 MB, set by parameters). Tokens counted, tokens learned from and
 what is sent grow with the corpus.
@@ -37,7 +38,7 @@ SLICE = 1 << 12
 
 @dataclass(frozen=True)
 class Network:
-    """ids: vocabulary with buckets (a multiple of the class size); width of the embeddings; window: neighbours on each side; stride: one of so many positions is learned from in a round; rate, batch: of Adagrad."""
+    """ids: vocabulary with buckets (a multiple of the class size); width of the embeddings; window: neighbours on each side; stride: one of so many positions of a text is learned from in a round, all of them in so many rounds; rate, batch: of Adagrad."""
 
     ids: int = 4096
     buckets: int = 512
@@ -45,7 +46,7 @@ class Network:
     width: int = 24
     window: int = 2
     rounds: int = 2
-    stride: int = 8
+    stride: int = 2
     rate: float = 0.08
     batch: int = 2048
 
@@ -174,6 +175,12 @@ class Weights:
             p += net.rate * g / (np.sqrt(s) + 1e-4)
 
 
+def residues(x: np.ndarray, at: np.ndarray, owner: np.ndarray, stride: int) -> np.ndarray:
+    """The round in which each position is a target: by its place in the text, from a start that the text alone sets."""
+    start = np.bincount(owner, x[at]).astype(np.int64)[owner]
+    return (np.arange(len(at)) - np.searchsorted(owner, owner) + start) % stride
+
+
 def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary of all documents and the count of each id."""
 
@@ -227,8 +234,8 @@ def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weig
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for a, b in batches_of_texts(texts):
-                    x, at, _ = shared_words.value.encode(texts[a:b])
-                    at = at[np.arange(len(at)) % net.stride == turn % net.stride]
+                    x, at, owner = shared_words.value.encode(texts[a:b])
+                    at = at[residues(x, at, owner, net.stride) == turn % net.stride]
                     at = at[np.random.default_rng(len(at)).permutation(len(at))]
                     for k in range(0, len(at), net.batch):
                         own.learn(x, at[k : k + net.batch], state)

@@ -59,6 +59,17 @@ def test_lm_scores_sum_to_one_and_training_helps(spark):
     assert abs(p - 1) < 1e-4
 
 
+def test_lm_learns_from_every_position(spark):
+    docs = spark.createDataFrame([(k, f"a{k % 5} b{k % 3} c d {'pq'[k % 2]} {'uv'[k % 2]} e f") for k in range(800)], "doc_id long, text string").coalesce(1)
+    kind = {"ids": 128, "buckets": 64, "class_size": 16, "width": 8, "batch": 64}
+    means = []
+    for net in (lm_scoring.Network(**kind, rounds=0), lm_scoring.Network(**kind)):
+        vocabulary, weights = lm_scoring.trained(docs, net)
+        x, at, _ = vocabulary.encode(["a1 b1 c d p u e f", "a2 b2 c d q v e f"])
+        means.append(weights.log_probabilities(x, at).reshape(2, 8).mean(axis=0))
+    assert (means[1] > means[0] + 0.2).all()
+
+
 def test_lm_awkward(spark):
     docs = awkward(spark)
     net = lm_scoring.Network(ids=128, buckets=64, class_size=16, width=4, rounds=1)
