@@ -3,8 +3,11 @@
 Every token of a document is predicted from the `window` tokens on both of its sides, itself masked; a
 document's score is the sum of the log probabilities of all its tokens given their neighbours.
 
-Tokens are words (lower-cased A-Z). The vocabulary is the most frequent words of the whole corpus, from an exact
-distributed count; all other words share `buckets` ids by hash. The network adds the neighbours' embeddings,
+Tokens are words (lower-cased A-Z). Every word of the corpus has a probability of its own, from an exact distributed
+count: the network predicts the most frequent words and, by hash, `buckets` groups of all others, and a word of a group adds
+log(count of the word / count of its group), which does not depend on the neighbours. That is the model's bound: only
+ids - buckets words are told apart by context. The counts of up to `usual` words are sent to the tasks; the tokens of
+all rarer words meet their counts in a join. The network adds the neighbours' embeddings,
 each weighted by its place, passes them through tanh and predicts in two steps, a class of 64
 ids and the id within the class, so that a token costs 128 outputs instead of 4,096. Its output
 biases start at the corpus frequencies, so an untrained network is the unigram model.
@@ -17,7 +20,7 @@ each; the driver gets one set of weights (about 1 MB, set by parameters). Tokens
 what is sent grow with the corpus.
 
 Defined cases: null, empty or blank text has 0 tokens and score 0 (mean null). Neighbours beyond the text are a padding token. Ties in the
-count go to the smaller hash. Repeated rows are scored alike; an empty table gives no rows. Only doc_id and text are read.
+count go to the smaller hash. A word never counted is taken as half an occurrence. Repeated rows are scored alike; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,18 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, lower_bytes, materialise, shuffle_partitions, table, word_hashes
+from .common import batches_of_texts, lower_bytes, materialise, scratch, shuffle_partitions, table, word_hashes
 
 FIXED_POINT = float(1 << 16)
 SLICE = 1 << 12
+COUNT_POINT = float(1 << 30)
+LEVELS = 8  # levels of word counts in an octave
 
 
 @dataclass(frozen=True)
 class Network:
-    """ids: vocabulary with buckets (a multiple of the class size); width of the embeddings; window: neighbours on each side; stride: one of so many positions of a text is learned from in a round, all of them in so many rounds; rate, batch: of Adagrad."""
+    """ids: vocabulary with buckets (a multiple of the class size); width of the embeddings; window: neighbours on each side; stride: one of so many positions of a text is learned from in a round, all of them in so many rounds; rate, batch: of Adagrad; usual: at most so many words' counts are sent to the tasks."""
 
     ids: int = 4096
     buckets: int = 512
@@ -49,6 +54,7 @@ class Network:
     stride: int = 2
     rate: float = 0.08
     batch: int = 2048
+    usual: int = 1 << 18
 
     @property
     def classes(self) -> int:
@@ -59,11 +65,12 @@ class Network:
 
 
 class Vocabulary:
-    """Word hashes to ids: frequent words first, then buckets by hash."""
+    """Word hashes to ids: frequent words first, then buckets by hash. usual: sorted hashes and counts of the words whose level is `least` or more; path: the table of all counts."""
 
-    def __init__(self, hashes: np.ndarray, net: Network):
+    def __init__(self, hashes: np.ndarray, net: Network, buckets: np.ndarray, usual: tuple[np.ndarray, np.ndarray], least: int, path: str):
         self.order = np.argsort(hashes)
         self.sorted, self.net = hashes[self.order], net
+        self.buckets, self.usual, self.least, self.path = buckets, usual, least, path
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         net = self.net
@@ -75,12 +82,32 @@ class Vocabulary:
             out[known] = self.order[at[known]]
         return out
 
+    def within(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log(count of the word / count of its bucket) of each token, 0 for frequent words; whether the word's count is still to be multiplied)."""
+        net, out, rare = self.net, np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+        inside = np.flatnonzero(ids >= net.ids - net.buckets)
+        if len(inside):
+            h = hashes[inside]
+            out[inside] = -np.log(np.maximum(self.buckets[ids[inside] - (net.ids - net.buckets)], 0.5))
+            known = np.zeros(len(h), dtype=bool)
+            words, counts = self.usual
+            if len(words):
+                at = np.searchsorted(words, h)
+                at[at == len(words)] = 0
+                known = words[at] == h
+                out[inside[known]] += np.log(counts[at[known]])
+            rare[inside[~known]] = True
+        return out, rare
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, padding around each; positions of tokens; the text each belongs to)."""
+        return self.encode_words([word_hashes(lower_bytes(t)) for t in texts])
+
+    def encode_words(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         net, parts, lengths = self.net, [], []
         pad = np.full(net.window, net.ids, dtype=np.int32)
-        for t in texts:
-            w = self.ids(word_hashes(lower_bytes(t)))
+        for h in texts:
+            w = self.ids(h)
             parts += [pad, w]
             lengths.append(len(w))
         x = np.concatenate([*parts, pad])
@@ -122,6 +149,19 @@ class Weights:
         z = z - z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
+    @staticmethod
+    def _runs(c: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, first, end) of each run of a sorted array."""
+        edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        return list(zip(c[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+
     def log_probabilities(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p of the token at each position given its neighbours."""
         net, out = self.net, np.empty(len(at))
@@ -133,10 +173,10 @@ class Weights:
             c, w = target // net.class_size, target % net.class_size
             _, h = self._hidden(x, some[by_class])
             logp = self._log_softmax(h @ self.parts[3].T + self.parts[4])[np.arange(len(c)), c].astype(np.float64)
-            edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                z = self._log_softmax(h[a:b] @ self.parts[5][c[a]].T + self.parts[6][c[a]])
-                logp[a:b] += z[np.arange(b - a), w[a:b]]
+            z = self.parts[6][c]
+            for j, a, b in self._runs(c):
+                z[a:b] += h[a:b] @ self.parts[5][j].T
+            logp += self._log_softmax(z)[np.arange(len(c)), w]
             out[k + by_class] = logp
         return out
 
@@ -149,18 +189,20 @@ class Weights:
         around, h = self._hidden(x, at)
         n = np.float32(len(at))
         rows = np.arange(len(at))
-        d = -np.exp(self._log_softmax(h @ uc.T + bc))
+        d = -self._softmax(h @ uc.T + bc)
         d[rows, c] += 1
-        grads = [np.zeros_like(p) for p in self.parts]
+        grads = [None, *(np.zeros_like(p) for p in self.parts[1:])]
         grads[3], grads[4] = d.T @ h, d.sum(axis=0)
         back = d @ uc
-        edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            k = c[a]
-            d = -np.exp(self._log_softmax(h[a:b] @ uw[k].T + bw[k]))
-            d[rows[: b - a], w[a:b]] += 1
-            grads[5][k], grads[6][k] = d.T @ h[a:b], d.sum(axis=0)
-            back[a:b] += d @ uw[k]
+        runs, d = self._runs(c), bw[c]
+        for k, a, b in runs:
+            d[a:b] += h[a:b] @ uw[k].T
+        d = -self._softmax(d)
+        d[rows, w] += 1
+        for k, a, b in runs:
+            grads[5][k] = d[a:b].T @ h[a:b]
+            back[a:b] += d[a:b] @ uw[k]
+        grads[6][[k for k, _, _ in runs]] = np.add.reduceat(d, [a for _, a, _ in runs], axis=0)
         back *= 1 - h * h
         near = emb[around]
         grads[1], grads[2] = (near * back[:, None, :]).sum(axis=0), back.sum(axis=0)
@@ -168,8 +210,11 @@ class Weights:
         flat = around.reshape(-1)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        grads[0][flat[order][first]] = np.add.reduceat(each[order], first, axis=0)
-        for p, g, s in zip(self.parts, grads, state, strict=True):
+        some = flat[order][first]  # other rows have no gradient, so nothing of theirs changes
+        g = np.add.reduceat(each[order], first, axis=0) / n
+        state[0][some] += g * g
+        emb[some] += net.rate * g / (np.sqrt(state[0][some]) + 1e-4)
+        for p, g, s in zip(self.parts[1:], grads[1:], state[1:], strict=True):
             g /= n
             s += g * g
             p += net.rate * g / (np.sqrt(s) + 1e-4)
@@ -181,6 +226,10 @@ def residues(x: np.ndarray, at: np.ndarray, owner: np.ndarray, stride: int) -> n
     return (np.arange(len(at)) - np.searchsorted(owner, owner) + start) % stride
 
 
+def _level() -> Column:
+    return F.floor(F.log2("n") * LEVELS)
+
+
 def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary of all documents and the count of each id."""
 
@@ -205,9 +254,10 @@ def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
             u, n = out(held)
             yield pa.RecordBatch.from_pydict({"word": pa.array(u.view(np.int64)), "n": pa.array(n)})
 
-    every = materialise(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    path = scratch(docs.sparkSession, "words")
+    docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(path)
+    every = docs.sparkSession.read.schema("word long, n long").parquet(path)
     top = every.orderBy(F.desc("n"), "word").limit(net.ids - net.buckets).collect()
-    vocabulary = Vocabulary(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64), net)
     counts = np.zeros(net.ids)
     bucket = F.pmod(F.shiftrightunsigned("word", 20), F.lit(net.buckets)).cast("int").alias("bucket")
     for row in every.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
@@ -215,7 +265,17 @@ def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
     for r in top:  # known words are not in the buckets
         counts[net.ids - net.buckets + ((r["word"] & (1 << 64) - 1) >> 20) % net.buckets] -= r["n"]
     counts[: len(top)] = [r["n"] for r in top]
-    return vocabulary, counts
+    least, words = 64 * LEVELS, 0  # levels of counts, so that their number is bounded at every size
+    for row in sorted(every.groupBy(_level().alias("level")).count().collect(), key=lambda r: -r["level"]):
+        words += row["count"]
+        if words > net.usual:
+            break
+        least = row["level"]
+    usual = every.where(_level() >= least).toArrow()
+    h, n = (usual.column(k).to_numpy() for k in ("word", "n"))
+    order = np.argsort(h.view(np.uint64))
+    hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    return Vocabulary(hashes, net, counts[net.ids - net.buckets :].copy(), (h.view(np.uint64)[order], n[order]), least, path), counts
 
 
 def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weights]:
@@ -268,20 +328,33 @@ def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weig
 
 def scored(docs: DataFrame, model: tuple[Vocabulary, Weights]) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in batches_of_texts(texts):
-                x, at, owner = vocabulary.encode(texts[a:b])
+                words = [word_hashes(lower_bytes(t)) for t in texts[a:b]]
+                x, at, owner = vocabulary.encode_words(words)
+                words = np.concatenate(words)
+                within, rare = vocabulary.within(words, x[at])
                 n = np.bincount(owner, minlength=b - a)
-                total = np.bincount(owner, weights.log_probabilities(x, at), b - a)
-                mean = [float(t / k) if k else None for t, k in zip(total, n, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "log_prob": pa.array(total, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                total = np.bincount(owner, weights.log_probabilities(x, at) + within, b - a)
+                ends = np.r_[0, np.cumsum(np.bincount(owner[rare], minlength=b - a))].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[rare].view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).slice(a, b - a), "doc_id": batch.column(1).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "part": pa.array(total, pa.float64()), "rest": rest})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialise(rows.mapInArrow(score, "row long, doc_id long, n_tokens long, part double, rest array<long>"), "scores")
+    # integers, so that sums do not depend on the order of rows
+    log = lambda n: F.rint(F.log(n) * COUNT_POINT).cast("long")
+    words = spark.read.schema("word long, n long").parquet(model[0].path).where(_level() < model[0].least).select("word", log(F.col("n")).alias("log"))
+    rest = rows.select("row", F.explode("rest").alias("word")).join(words, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.coalesce("log", log(F.lit(0.5)))).alias("log"))
+    out = rows.drop("rest").join(rest, "row", "left").withColumn("log_prob", F.col("part") + F.coalesce("log", F.lit(0)) / F.lit(COUNT_POINT))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against a plain version or a round trip, and on awkward, empty and clashing tables."""
 
+import collections
 import itertools
 import math
 import random
@@ -70,6 +71,25 @@ def test_lm_learns_from_every_position(spark):
     assert (means[1] > means[0] + 0.2).all()
 
 
+@pytest.mark.parametrize("usual", [1 << 18, 40, 0])
+def test_lm_tells_words_of_a_bucket_apart(spark, usual):
+    docs = spark.createDataFrame([(k, f"{sentence(k, 30)} often{k % 4} once{k}") for k in range(200)], "doc_id long, text string")
+    net = lm_scoring.Network(ids=64, buckets=16, class_size=16, width=4, rounds=0, usual=usual)
+    vocabulary, weights = lm_scoring.trained(docs, net)
+    counts = collections.Counter(w for _, t in docs.collect() for w in t.split())
+    of = lambda w: int(vocabulary.ids(word_hashes(w.encode()))[0]) - 48
+    totals = collections.Counter()
+    for w, n in counts.items():
+        totals[of(w)] += n
+    asked = spark.createDataFrame([(k, w) for k, w in enumerate([*counts, "never"])], "doc_id long, text string")
+    found = {r["doc_id"]: r["log_prob"] for r in lm_scoring.scored(asked, (vocabulary, weights)).collect()}
+    for k, w in enumerate([*counts, "never"]):
+        x, at, _ = vocabulary.encode([w])
+        assert abs(found[k] - weights.log_probabilities(x, at)[0] - (math.log((counts[w] or 0.5) / totals[of(w)]) if of(w) >= 0 else 0)) < 1e-6
+    # over all words counted, the probabilities sum to one
+    assert abs(sum(math.exp(found[k]) for k in range(len(counts))) - 1) < 1e-2
+
+
 def test_lm_awkward(spark):
     docs = awkward(spark)
     net = lm_scoring.Network(ids=128, buckets=64, class_size=16, width=4, rounds=1)
