@@ -3,7 +3,9 @@
 Texts are lower-cased and runs of white space become one space. A document is contaminated by a benchmark
 item if somewhere it holds the item with at most k edits (insertions, deletions, substitutions of
 characters), k = edit_rate of the item's length. An item longer than `most_chars` is looked for in
-overlapping pieces of that length, so that a part of it is found too.
+overlapping pieces of that length. Every item of `least_part` * 4 / 3 characters or more is also looked for in half
+overlapping parts of `part_chars` characters or, if fewer, three quarters of its length, so that a contiguous part of it
+is found too; shorter items are looked for as a whole only. A place of the whole is reported before one of a part.
 
 By the q-gram lemma a copy of an m-character piece with k edits shares at least m + 1 - q - k q of the
 piece's q-grams with it, all on diagonals (text position minus piece position) at most 2 k apart. All q-grams of
@@ -37,11 +39,13 @@ from .common import mix64, table
 
 @dataclass(frozen=True)
 class Lemma:
-    """q: characters of a q-gram (12). edit_rate: edits by character of the item. most_chars: longer items are cut into pieces of this length, half overlapping. block_chars: benchmark characters sent to tasks at once. scan_chars: text characters looked at together."""
+    """q: characters of a q-gram (12). edit_rate: edits by character of the item. most_chars: longer items are cut into pieces of this length, half overlapping. part_chars: of the parts that each item is also looked for in; least_part: no part is shorter. block_chars: benchmark characters sent to tasks at once. scan_chars: text characters looked at together."""
 
     q: int = 12
     edit_rate: float = 0.05
     most_chars: int = 400
+    part_chars: int = 200
+    least_part: int = 64
     block_chars: int = 4_000_000
     scan_chars: int = 1 << 19
 
@@ -86,17 +90,20 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], lemma: Lemma):
         self.lemma = lemma
         self.pieces: list[tuple[int, np.ndarray, int]] = []  # item id, code points, edits
+        self.part: list[bool] = []  # of a piece: whether it is a part
         self.short: list[tuple[int, str]] = []
         for item, text in items:
             text = normalise(text)
             if text and len(text) < lemma.q:
                 self.short.append((item, text))
                 continue
-            step = lemma.most_chars // 2
-            cuts = [0] if len(text) <= lemma.most_chars else [*range(0, len(text) - lemma.most_chars, step), len(text) - lemma.most_chars]
-            for c in cuts if text else []:
-                a = code_points(text[c : c + lemma.most_chars])
-                self.pieces.append((item, a, lemma.budget(len(a))))
+            part = min(lemma.part_chars, -(-3 * len(text) // 4))
+            for length in [lemma.most_chars] + [part] * (lemma.least_part <= part < lemma.most_chars):
+                cuts = [0] if len(text) <= length else [*range(0, len(text) - length, length // 2), len(text) - length]
+                for c in cuts if text else []:
+                    a = code_points(text[c : c + length])
+                    self.pieces.append((item, a, lemma.budget(len(a))))
+                    self.part.append(length < lemma.most_chars)
         grams = [qgrams(a, lemma.q) for _, a, _ in self.pieces]
         every = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         piece = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.empty(0, dtype=np.int64)
@@ -139,19 +146,19 @@ class Index:
     def hits(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """item -> (edits, start, end) in the normalised text, the best place of each."""
         text = normalise(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int, int, int]] = {}  # part or not, and the place
         for item, s in self.short:
             if (at := text.find(s)) >= 0:
-                best[item] = min(best.get(item, (9**9,)), (0, at, at + len(s)))
+                best[item] = min(best.get(item, (9**9,)), (0, 0, at, at + len(s)))
         overlap = 2 * self.lemma.most_chars
         for start in range(0, max(1, len(text) - overlap), self.lemma.scan_chars):
             a = code_points(text[start : start + self.lemma.scan_chars + overlap])
             for p, diagonal in self.candidates(a):
                 item, piece, k = self.pieces[p]
                 found = align(piece, a, diagonal, 2 * int(self.band[p]), k)
-                if found and (found := (found[0], found[1] + start, found[2] + start)) < best.get(item, (9**9,)):
+                if found and (found := (self.part[p], found[0], found[1] + start, found[2] + start)) < best.get(item, (9**9,)):
                     best[item] = found
-        return best
+        return {item: place[1:] for item, place in best.items()}
 
 
 def align(piece: np.ndarray, text: np.ndarray, diagonal: int, width: int, k: int) -> tuple[int, int, int] | None:

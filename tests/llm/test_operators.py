@@ -300,6 +300,16 @@ def test_decontamination(spark):
     assert index.hits(half) == {}
 
 
+@pytest.mark.parametrize("words", [20, 25, 45])
+def test_decontamination_finds_parts(words):
+    items = [sentence(k, words) for k in range(20)]
+    index = decontam.Index(list(enumerate(items)), decontam.Lemma())
+    for k, t in enumerate(items):
+        for part in (t[: len(t) * 9 // 10], t[len(t) // 10 :]):
+            assert set(index.hits(f"{sentence(3000 + k)} {part} {sentence(4000 + k)}")) == {k}
+        assert index.hits("x " + t)[k] == (0, 2, 2 + len(t))  # the whole, not a part of it
+
+
 def test_decontamination_tables(spark):
     bench = spark.createDataFrame([(1, sentence(900, 30)), (2, None), (3, ""), (None, sentence(901, 30)), (5, "one two")], "item_id long, text string")
     docs = clashing(awkward(spark).union(spark.createDataFrame([(50, "x " + sentence(900, 30).upper() + " y", "en", "a", 1)], awkward(spark).schema)))
