@@ -13,7 +13,7 @@ language's threshold, calibrated on training rows left out of the counts (`patie
 above their mean). The operator's `language` is then `und`; `nearest` still tells the best one.
 
 The models are fitted on the driver on a bounded sample: at most `max_rows` rows with a known language,
-shared evenly between languages, those with the smallest hash of their id. Scoring is one pass over all rows.
+shared evenly between languages, those with the smallest hash of their id; an id gives a language one row, its first text in order. Scoring is one pass over all rows.
 
 Defined cases: null text or one without any letter is `und` with score 0; without any training row every text is. Ties go to
 the first language by name. Repeated rows get equal results; an empty table gives no rows. Letters never seen in
@@ -229,15 +229,15 @@ class Models:
 def fitted(docs: DataFrame, p: Languages = Languages()) -> Models:
     """Models from at most max_rows rows with text and language outside the test fold."""
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()  # an id counts once, however many rows carry it
     counts = materialise(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     share = max(1, p.max_rows // max(1, counts.count()))
     # The smallest hashes of a language: first all below a bound that twice as many pass, so that no task ranks a whole language.
     bound = (F.least(F.lit(1.0), (2 * share + 100) / F.col("n")) * 2 - 1) * float(1 << 63)
     few = ids.join(counts, "lang").where(F.col("h") <= bound)
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= share).select("doc_id", "lang", "h").distinct()
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text", "h").collect()
+    chosen = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= share).select("doc_id", "lang", "h")
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()
     return Models([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))], p)
 
 

@@ -170,6 +170,17 @@ def test_language_models(spark):
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_language_sample_counts_an_id_once(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    hashes = dict(rows(spark.createDataFrame([(k,) for k in ids], "doc_id long").select("doc_id", F.xxhash64("doc_id"))))
+    low, *rest, high = sorted(ids, key=hashes.get)
+    made = [(low, "aab", "xx")] * 300 + [(k, "aba bbab", "xx") for k in rest[:50]] + [(high, "dede edd", "yy")] * 3000
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    models = language_id.fitted(docs, language_id.Languages(max_rows=60))
+    assert models.names == ["xx", "yy"]
+    assert models.entropies(["aba bbab"])[0][0, 0] < 0.5  # learnt from more than the repeated id
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     out = rows(language_id.identified(clashing(docs), language_id.fitted(docs)))
