@@ -16,7 +16,8 @@ The models are fitted on the driver on a bounded sample: at most `max_rows` rows
 shared evenly between languages, those with the smallest hash of their id; an id gives a language one row, its first text in order. Scoring is one pass over all rows.
 
 Defined cases: null text or one without any letter is `und` with score 0; without any training row every text is. Ties go to
-the first language by name. Repeated rows get equal results; an empty table gives no rows. Letters never seen in
+the first language by name. Every letter seen in training, of whatever script, has a symbol of its own or, beyond the 3,334
+most frequent where there are more than 4,093, a pair of symbols. Repeated rows get equal results; an empty table gives no rows. Letters never seen in
 training cost every language the same. Only the named columns are read.
 """
 
@@ -35,7 +36,8 @@ from .common import batches_of_texts, held_out, materialise, mix64, table
 
 BITS = 12  # of a symbol; five of them fit a key
 UNKNOWN = (1 << BITS) - 1
-TABLE = 0x3000  # code points with a symbol of their own; beyond, everything is a letter
+TABLE = 0x110000  # code points
+LEADS = 380  # where letters outnumber the symbols, the rarer ones are pairs of a lead and a trail, so many of each
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ def _letters() -> np.ndarray:
     for c in range(TABLE):
         if chr(c).isalpha():
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < TABLE else c
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
@@ -90,16 +92,23 @@ class Models:
         self.p = p
         self.names = sorted({lang for lang, _ in rows})
         self.fold = _letters()
-        self.symbol = np.full(TABLE, UNKNOWN, dtype=np.uint64)
+        self.symbol, self.trail = np.full(TABLE, UNKNOWN, dtype=np.uint16), np.zeros(TABLE, dtype=np.uint16)
         if not self.names:
             return
         by = {lang: [t for g, t in rows if g == lang] for lang in self.names}
         counted = {lang: [t for k, t in enumerate(ts) if k % 5 or len(ts) < 10] for lang, ts in by.items()}
         left = {lang: [t for k, t in enumerate(ts) if k % 5 == 0] for lang, ts in by.items()}
-        seen = np.unique(np.concatenate([self._folded(t) for ts in counted.values() for t in ts] + [np.array([32], dtype=np.uint32)]))
+        seen, times = np.unique(np.concatenate([self._folded(t) for ts in counted.values() for t in ts] + [np.array([32], dtype=np.uint32)]), return_counts=True)
+        seen, times = seen[seen != 32], times[seen != 32]
         self.symbol[32] = 0
-        for k, c in enumerate(c for c in seen[seen < TABLE].tolist() if c != 32):
-            self.symbol[c] = min(k + 1, UNKNOWN - 1)
+        if len(seen) < UNKNOWN - 1:
+            self.symbol[seen] = np.arange(1, len(seen) + 1)
+        else:
+            own = UNKNOWN - 2 * LEADS - 1
+            seen = seen[np.argsort(-times, kind="stable")]
+            self.symbol[seen[:own]] = np.arange(1, own + 1)
+            lead, trail = np.divmod(np.arange(len(seen) - own), LEADS)
+            self.symbol[seen[own:]], self.trail[seen[own:]] = own + 1 + lead, own + 1 + LEADS + trail
         self._fit([self._symbols(counted[lang])[0] for lang in self.names])
         self.limits = np.full(len(self.names), np.inf)
         for k, lang in enumerate(self.names):
@@ -110,8 +119,7 @@ class Models:
 
     def _folded(self, text: str) -> np.ndarray:
         a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        low = a < TABLE
-        return self.fold[a] if low.all() else np.where(low, self.fold[np.where(low, a, 0)], a)
+        return self.fold[a]
 
     def _symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols of all texts with order - 1 spaces before each, whether a position counts, text starts)."""
@@ -122,7 +130,10 @@ class Models:
                 keep = np.ones(len(a), dtype=bool)
                 keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
                 a = a[keep]
-            s = self.symbol[a] if not len(a) or a.max() < TABLE else np.where(a < TABLE, self.symbol[np.minimum(a, TABLE - 1)], np.uint64(UNKNOWN))
+            s, trail = self.symbol[a].astype(np.uint64), self.trail[a]
+            if trail.any():
+                after = np.flatnonzero(trail)
+                s = np.insert(s, after + 1, trail[after])
             starts.append(at)
             parts += [pad, s]
             at += len(pad) + len(s)

@@ -181,6 +181,17 @@ def test_language_sample_counts_an_id_once(spark):
     assert models.entropies(["aba bbab"])[0][0, 0] < 0.5  # learnt from more than the repeated id
 
 
+@pytest.mark.parametrize("letters", [200, 5000])
+def test_languages_of_other_scripts(letters):
+    rnd = random.Random(6)
+    halves = {"aa": range(0x4E00, 0x4E00 + letters // 2), "bb": range(0x4E00 + letters // 2, 0x4E00 + letters)}
+    text = lambda lang: " ".join("".join(chr(rnd.choice(halves[lang])) for _ in range(5)) for _ in range(20))
+    models = language_id.Models([(lang, text(lang)) for lang in halves for _ in range(200)], language_id.Languages())
+    assert all(models.predict([text(lang)])[0][1] == lang for lang in halves for _ in range(20))
+    seen = [chr(c) for half in halves.values() for c in half if models.symbol[c] != language_id.UNKNOWN]
+    assert len(seen) > 0.9 * letters and len({tuple(models._symbols([c])[0]) for c in seen}) == len(seen)
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     out = rows(language_id.identified(clashing(docs), language_id.fitted(docs)))
