@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet
 in the shared folder and reads them back as the next one's docs. All but the last return docs' columns.
-Rows with a null id pass every stage that their text passes; an empty table passes all stages.
+Rows with a null id are judged by their text in every stage; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -20,13 +20,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (5-word shingles, Jaccard 0.75 or more) the one with the smallest id; equal rows of that id once."""
-    found = ngram_join.components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    """Of each group of linked rows (5-word shingles, Jaccard 0.75 or more) the one with the smallest id, one without an id last; equal rows once.
+
+    Rows are told apart by a hash of id and text, so null ids and ids with several texts are compared by text like all others.
+    """
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    keyed = docs.select("doc_id", "text", row.alias("row"))
+    members = ngram_join.components(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("first")
+    found = members.distinct().join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias("row"), F.col("first.times").alias("times"))
     found = materialise(found, "kept")
-    out = docs.where("doc_id is null").unionByName(docs.join(found.where("times = 1"), "doc_id", "left_semi").select(docs.columns))
+    rows = docs.withColumn("__row", row)
+    kept = lambda some: rows.join(some.withColumnRenamed("row", "__row"), "__row", "left_semi").select(docs.columns)
+    out = kept(found.where("times = 1"))
     again = found.where("times > 1")
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+        out = out.unionByName(kept(again).dropDuplicates(["doc_id", "text"]))
     return out
 
 

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from folioscan.llm import decontam, registry
 
-from .helpers import awkward, nothing
+from .helpers import DOCS, awkward, nothing, sentence
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -53,3 +53,12 @@ def test_stages_take_awkward_and_empty_tables(spark, make):
         assert out.count() <= 2 * docs.count()
         if name == "near_duplicates" and make is awkward:
             assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 9, 10]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    texts = [(None, sentence(1)), (None, sentence(1)), (5, sentence(1)), (None, sentence(2)), (None, sentence(2) + " more"), (1, sentence(3)), (7, sentence(3)), (7, sentence(4)), (8, sentence(5)), (8, sentence(5)), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in texts], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    left = [r for r in kept if r[1] not in (sentence(2), sentence(2) + " more")]
+    assert left == sorted([(5, sentence(1)), (1, sentence(3)), (7, sentence(4)), (8, sentence(5)), (None, None)], key=str)
+    assert len(kept) == 6
