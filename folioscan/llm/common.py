@@ -6,23 +6,28 @@ UTF-8, so all hashing runs on byte arrays in numpy, block by block, whatever a t
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at once; bounds the working memory of a Python worker.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a text hashed in one step.
+HASH_BYTES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, dtype=np.uint64)
+_POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset and all is on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
+    found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscan-shared-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -76,12 +83,12 @@ def unmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n at least."""
     global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 64), np.uint64(_BASE))
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=np.uint64)
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _POWERS = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b))], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     return _POWERS
 
 
@@ -91,27 +98,32 @@ def lower_bytes(text: str | None) -> bytes:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
+    """A 64-bit hash of each word, in order: a polynomial of its bytes, as a difference of the block's running sums."""
     out = []
     at = 0
     while at < len(data):
-        end = min(len(data), at + BLOCK_BYTES)
+        end = min(len(data), at + HASH_BYTES)
         while end < len(data) and not _IS_SPACE[data[end]]:
             end += 1  # blocks end between words
         a = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
         space = np.empty(len(a) + 2, dtype=bool)
         space[0] = space[-1] = True
-        space[1:-1] = _IS_SPACE[a]
+        np.take(_IS_SPACE, a, out=space[1:-1], mode="clip")
         edge = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = edge[::2], edge[1::2]
         if len(starts):
-            lengths = ends - starts
-            bounds = np.zeros(len(starts) + 1, dtype=np.int64)
-            np.cumsum(lengths, out=bounds[1:])
-            inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths)
-            letters = a[~space[1:-1]].astype(np.uint64) + np.uint64(1)
-            out.append(mix64(np.add.reduceat(letters * _powers(int(lengths.max()) + 1)[inside], bounds[:-1]) + lengths.astype(np.uint64)))
+            power, inverse = _powers(len(a))
+            sums = np.empty(len(a) + 1, dtype=np.uint64)
+            sums[0] = 0
+            terms = a.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= power[: len(a)]
+            np.cumsum(terms, out=sums[1:])
+            own = (sums[ends] - sums[starts]) * inverse[starts]
+            out.append(mix64(own + (ends - starts).astype(np.uint64)))
         at = end
+    if len(out) == 1:
+        return out[0]
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -157,3 +169,53 @@ def batches_of_texts(texts: list, most: int = BLOCK_BYTES) -> Iterator[tuple[int
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of rows of an Arrow column whose texts have about `most` bytes together (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, column.slice(start, end - start).to_pylist()
+        start = end
+
+
+def tidy(work: Callable) -> Callable:
+    """work for mapInArrow that gives the memory it has freed back to the system when a task ends, for Python workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
+_SHARED: list = []
+
+
+def share(spark: SparkSession, value):
+    """value broadcast, until let_go()."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def let_go() -> None:
+    """The executors' copies of what share() has sent so far are removed; a plan that still needs one gets it again."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

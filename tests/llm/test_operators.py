@@ -376,8 +376,8 @@ def plain_components(texts):
     return sorted((d, len(sets[d]), root(d)) for d in sets)
 
 
-@pytest.mark.parametrize("buffer_rows", [4_000_000, 300])
-def test_join_finds_every_link(spark, buffer_rows):
+@pytest.mark.parametrize("settings", [{}, {"hot_rows": 4, "partners": 3, "cell": 5}, {"orders": 1}])
+def test_join_finds_every_link(spark, settings):
     rnd = random.Random(9)
     texts, passage = [], sentence(77, 60)
     for g in range(30):
@@ -387,10 +387,17 @@ def test_join_finds_every_link(spark, buffer_rows):
             for _ in range(rnd.choice([0, 0, 1, 2, 3])):
                 t[rnd.randrange(len(t))] = f"edit{rnd.randrange(99)}"
             texts.append(" ".join(t))
-    texts += [passage + " " + sentence(500 + k, k % 30) for k in range(60)] + ["a b", "A b", "", None, "a b c d e", "lone"]
+    texts += [passage + " " + sentence(500 + k, k % 30) for k in range(60)]
+    texts += [" ".join(f"own{k}x{j}" for j in range(2 + k % 25)) + " " + sentence(78, 70) for k in range(60)]  # about the threshold
+    texts += ["a b", "A b", "", None, "a b c d e", "lone"]
     rnd.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    found = sorted(rows(ngram_join.components(clashing(docs), ngram_join.Join(buffer_rows=buffer_rows))))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50 if settings else batch)
+        found = sorted(rows(ngram_join.components(clashing(docs), ngram_join.Join(**settings))))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert found == plain_components(list(enumerate(texts)))
 
 
