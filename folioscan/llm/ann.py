@@ -1,17 +1,21 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
-Query and candidate vectors are packed into blocks (rows of one binary each). Every query block meets every
-candidate block once, by an equi-join on the query block's number, to which candidate blocks are
-addressed. In a pair of blocks, unit vectors quantised to int8 (one scale a vector) are multiplied as tiles;
+Queries are sent to the tasks in blocks of at most `query_bytes`, one pass over the candidates for each block; the
+candidates stay where they are and are not shuffled. In a task, blocks of `block_rows` candidates meet
+`tile_rows` queries at a time: unit vectors quantised to int8 (one scale a vector) are multiplied as tiles;
 with e the length of a vector's quantisation error, the true cosine lies within
-e_q (1 + e_c) + e_c of the tile's value (plus float rounding). Only pairs whose upper bound reaches the k-th
-largest lower bound of their query are recomputed, from the original vectors in double precision, and
-a heap keeps the k best of each query in each pair of blocks. The heaps of a query, k rows each, are merged by a
+e_q (1 + e_c) + e_c of the tile's value (plus float rounding). A pair survives if its upper bound reaches the k-th
+largest lower bound of the query's first tile and, from then on, the k-th best cosine that the task has found for the query.
+Survivors are recomputed, from the original vectors in double precision, and kept in the query's heap of k. The
+heaps of all tasks, k rows each, are merged by a
 window over (score, vec_id). So results are exact, whatever the quantisation loses.
 
+Equal vectors of a block are compared once, with the k + 1 smallest ids that they have, which are all that may be among
+the k nearest of a query; so a vector that a third of all rows hold costs no more than another.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose
-length differs from the query's. Ties go to the smaller vec_id; a query never finds a row of its own id; repeated
-rows of an id count once (the first in the vector's order); a null id takes no part. With fewer than k candidates, all are
+length differs from the query's. Every row is a candidate of every query but itself: rows of a repeated id find each other, and each such
+row for which the condition holds is a query of its own. Ties go to the smaller vec_id; a null id takes no part. With fewer than k candidates, all are
 returned. Empty tables give no rows. Only vec_id and embedding are read.
 """
 
@@ -27,16 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, shuffle_partitions, table
+from .common import materialise, share, table, tidy
 
 
 @dataclass(frozen=True)
 class Nearest:
-    """k neighbours; rows of a query block and of a candidate block."""
+    """k neighbours; bytes of the vectors of a query block; rows of a candidate block; queries in a tile."""
 
     k: int = 5
-    query_rows: int = 512
+    query_bytes: int = 32 << 20
     block_rows: int = 4096
+    tile_rows: int = 512
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -51,87 +56,114 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 rows, scales, lengths of the errors) of the unit vectors of x."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
     return q, scale, np.linalg.norm(unit - q * scale[:, None], axis=1) + 1e-6
 
 
-def tile(q: np.ndarray, c: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(query row, candidate rows that may be among its k nearest) of a pair of blocks, by bounds alone."""
-    (a, sa, ea), (b, sb, eb) = quantised(q), quantised(c)
-    near = (a.astype(np.float32) @ b.astype(np.float32).T) * sa[:, None] * sb[None, :]  # int8 products, exact in float32 up to 1,040 components
-    slack = ea[:, None] * (1 + eb[None, :]) + eb[None, :] + 1e-4 * (q.shape[1] > 1040)
-    near[own[:, None] == ids[None, :]] = -np.inf
-    low = near - slack
-    n = min(k, near.shape[1])
-    kth = np.partition(low, near.shape[1] - n, axis=1)[:, near.shape[1] - n]
-    for i in range(len(q)):
-        yield i, np.flatnonzero((near[i] + slack[i] >= kth[i]) & np.isfinite(near[i]))
-
-
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, v) as blocks (ids, dims, data), each of at most `size` vectors of one length."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-
-        def out(d: int, part: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"ids": pa.array([np.array([i for i, _ in part], dtype=np.int64).tobytes()], pa.binary()), "dims": pa.array([d], pa.int32()), "data": pa.array([np.stack([v for _, v in part]).tobytes()], pa.binary())})
-
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                part = held.setdefault(len(x), [])
-                part.append((i, x))
-                if len(part) == size:
-                    yield out(len(x), held.pop(len(x)))
-        for d, part in held.items():
-            yield out(d, part)
-
-    return rows.select("id", "v").mapInArrow(pack, "ids binary, dims int, data binary")
+class Queries:
+    """Query vectors of one length, with the heaps of a task. rows: keys of the vectors' rows."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, p: Nearest):
+        self.rows, self.vectors, self.p = rows, vectors, p
+        self.codes, self.scale, self.error = quantised(vectors)
+
+    def start(self) -> None:
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in self.rows]  # (score, -id, row)
+        self.bound = np.full(len(self.rows), -np.inf)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
+        k = self.p.k
+        order = np.lexsort((rows, ids))
+        ids, rows, vectors = ids[order], rows[order], np.ascontiguousarray(vectors[order])
+        _, first, group = np.unique(vectors.view(np.dtype((np.void, vectors.strides[0]))).ravel(), return_index=True, return_inverse=True)
+        held = np.argsort(group, kind="stable")  # rows of a group, smallest id first
+        begin = np.searchsorted(group[held], np.arange(len(first) + 1))
+        vectors = vectors[first]
+        codes, scale, error = quantised(vectors)
+        codes = codes.astype(np.float32).T
+        for a in range(0, len(self.rows), self.p.tile_rows):
+            b = min(len(self.rows), a + self.p.tile_rows)
+            near = self.codes[a:b].astype(np.float32) @ codes  # int8 products, exact in float32 up to 1,040 components
+            near *= self.scale[a:b, None].astype(np.float32)
+            near *= scale.astype(np.float32)
+            slack = self.error[a:b, None] * (1 + error) + error + (1e-5 if vectors.shape[1] <= 1040 else 1e-4)
+            if np.isneginf(self.bound[a:b]).any() and near.shape[1] > k + 1:  # one of the k + 1 nearest groups may be the query itself
+                low = np.partition(near - slack, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1]
+                self.bound[a:b] = np.maximum(self.bound[a:b], low)
+            q, c = np.nonzero(near + slack >= self.bound[a:b, None])
+            if not len(q):
+                continue
+            scores = cosine(self.vectors[a + q], vectors[c])
+            for i, j, score in zip((q + a).tolist(), c.tolist(), scores.tolist(), strict=True):
+                heap = self.heaps[i]
+                for at in held[begin[j] : min(begin[j + 1], begin[j] + k + 1)].tolist():
+                    if rows[at] != self.rows[i]:
+                        entry = (score, -int(ids[at]), int(rows[at]))
+                        if len(heap) < k:
+                            heapq.heappush(heap, entry)
+                        elif entry > heap[0]:
+                            heapq.heapreplace(heap, entry)
+                        else:
+                            break
+                if len(heap) == k and heap[0][0] > self.bound[i]:
+                    self.bound[i] = heap[0][0]
 
 
 def valid(df: DataFrame) -> DataFrame:
-    """(id, v array<double>) of the vectors that take part, each id once."""
+    """(row, id, v array<double>) of the vectors that take part; row is a key of the row."""
     v = F.col("embedding").cast("array<double>")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists(v, lambda x: x != 0.0))
-    return kept.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return kept.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"), v.alias("v"))
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, vectors) of each length of vectors in a batch (row, id, v)."""
+    rows, ids, v = (batch.column(k) for k in range(3))
+    lengths = np.diff(v.offsets.to_numpy())
+    for d in np.unique(lengths).tolist():
+        at = pa.array(np.flatnonzero(lengths == d))
+        yield rows.take(at).to_numpy(), ids.take(at).to_numpy(), v.take(at).flatten().to_numpy().reshape(-1, d)
 
 
 def nearest(vectors: DataFrame, queries, p: Nearest = Nearest()) -> DataFrame:
     """(query_id, rank, vec_id, score): of vectors(vec_id, embedding), the k nearest of each row for which the Column `queries` of id holds."""
-    rows = materialise(valid(vectors), "vectors")
     spark = vectors.sparkSession
-    candidates = _packed(rows, p.block_rows)
-    asked = materialise(_packed(rows.where(queries).repartition(max(1, -(-rows.where(queries).count() // p.query_rows)), "id"), p.query_rows), "queries")
-    # Blocks are numbered; candidate blocks are addressed to each query block (a join of blocks, of bounded size each).
-    numbered = asked.select(F.sha2("ids", 256).alias("mark"), "dims").withColumn("block", F.row_number().over(Window.orderBy("mark", "dims")) - 1)
-    asked = asked.withColumn("mark", F.sha2("ids", 256)).join(numbered.select("mark", "block"), "mark").select("block", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
-    count = numbered.count()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    pairs = sent.join(asked, "block").where("dims = q_dims").select("q_ids", "q_data", "ids", "data", "dims")
-    pairs = pairs.repartition(max(shuffle_partitions(spark), 1))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                q_ids, ids = (np.frombuffer(batch.column(c)[r].as_py(), dtype=np.int64) for c in (0, 2))
-                d = batch.column(4)[r].as_py()
-                q, c = (np.frombuffer(batch.column(k)[r].as_py(), dtype=np.float64).reshape(-1, d) for k in (1, 3))
-                found = []
-                for i, at in tile(q, c, p.k, q_ids, ids):
-                    if len(at):
-                        score = cosine(np.broadcast_to(q[i], (len(at), d)), c[at])
-                        best = heapq.nsmallest(p.k, zip((-score).tolist(), ids[at].tolist(), strict=True))
-                        found += [(int(q_ids[i]), v, -s) for s, v in best]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
-
-    heaps = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rows = materialise(valid(vectors), "vectors")
+    asked = rows.where(queries)
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // p.query_bytes))
+    heaps = None
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k)
+        by: dict[int, list] = {}
+        for batch in block.toArrow().to_batches():  # about query_bytes
+            for keys, ids, x in _arrays(batch):
+                by.setdefault(x.shape[1], []).append((keys, ids, x))
+        shared = share(spark, {d: [np.concatenate(c) for c in zip(*parts, strict=True)] for d, parts in by.items()})
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = {d: Queries(keys, x, p) for d, (keys, _, x) in shared.value.items()}
+            for q in asked.values():
+                q.start()
+            for batch in batches:
+                for rows, ids, x in _arrays(batch):
+                    if x.shape[1] in asked:
+                        for a in range(0, len(ids), p.block_rows):
+                            asked[x.shape[1]].meet(ids[a : a + p.block_rows], rows[a : a + p.block_rows], x[a : a + p.block_rows])
+            for d, q in asked.items():
+                found = [(int(key), int(query), -e[1], e[0]) for key, query, heap in zip(q.rows, shared.value[d][1], q.heaps, strict=True) for e in heap]
+                yield pa.RecordBatch.from_pydict({n: pa.array([f[k] for f in found], t) for k, (n, t) in enumerate((("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
+
+        part = rows.mapInArrow(tidy(search), "row long, query_id long, vec_id long, score double")
+        if blocks > 1:
+            part = materialise(part, "heaps")
+            shared.unpersist()
+        heaps = part if heaps is None else heaps.union(part)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return heaps.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -141,12 +173,12 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
     WITH v AS (
-        SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+        SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
-    FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5"""
 
 
 def oracle() -> str:

@@ -259,45 +259,100 @@ def test_chat_round_trip(spark):
 # 6
 
 
+def mix(docs, *names, settings=mixing.Mix()):
+    return rows(mixing.mixed(docs, settings).select(*(f"row.{n}" for n in names), "size", "source_size", "target", "copies"))
+
+
 def test_mixing(spark):
     made = [(k, sentence(k, 1 + k % 37), f"s{k % 5}" if k % 11 else None, k) for k in range(600)]
     docs = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long")
-    out = rows(mixing.mixed(clashing(docs)).select("source", "doc_id", "size", "source_size", "target", "copies"))
-    assert sorted(out, key=str) == sorted(rows(mixing.mixed(docs).select("source", "doc_id", "size", "source_size", "target", "copies")), key=str)
-    assert len(out) == 600
+    strange = clashing(docs)
+    for name in ("p", "cut", "whole", "m_source", "e_bucket", "row", "mark", "part", "class", "turn", "u", "range", "rest", "p_source", "e_range", "source_size", "a.b"):
+        strange = strange.withColumn(name, F.lit("x"))
+    out = mix(strange, "source", "doc_id")
+    assert sorted(out, key=str) == sorted(mix(docs, "source", "doc_id"), key=str) == sorted(mix(docs.repartition(7), "source", "doc_id", settings=mixing.Mix(broadcast_rows=0)), key=str)
+    assert len(out) == 600 and mixing.mixed(strange).select("row.*").columns == strange.columns
     total = sum(r[2] for r in out)
     targets = {r[0]: (r[4], r[3]) for r in out}
     assert abs(sum(t for t, _ in targets.values()) - 1.5 * total) < 1e-6 and all(t <= 2 * s + 1e-9 for t, s in targets.values())
     for source, (target, _) in targets.items():
         assert abs(sum(r[2] * r[5] for r in out if r[0] == source) - target) <= 37 / 2
     assert max(r[5] for r in out) <= 2
+    # longer documents are likelier to be taken, and no order of documents alone decides
+    of = lambda low, high: np.mean([r[5] for r in out if r[0] == "s1" and low <= r[2] < high])
+    assert of(16, 40) > of(1, 8)
+
+
+def test_mixing_of_unequal_probabilities(spark):
+    """The plain version: expected copies by bisection, the Pareto order by sorting."""
+    made = [(k, " ".join(["w"] * (1 + k * k % 90)), "ab"[k % 2]) for k in range(500)]
+    settings = mixing.Mix(weights=(3, 1), total=0.7, ranges=16)
+    out = {r[0]: r for r in mix(spark.createDataFrame(made, "doc_id long, text string, source string"), "doc_id", settings=settings)}
+    size = {k: 1 + k * k % 90 for k, _, _ in made}
+    weight = {k: round(16 * 2 ** ((n.bit_length() - 1) / 2)) for k, n in size.items()}
+    orders = 0
+    for source in (0, 1):
+        mine = [k for k in size if k % 2 == source]
+        target, low, high = out[mine[0]][3], 0.0, 10.0
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(2, c * weight[k]) * size[k] for k in mine) < target else (low, c)
+        copies = {k: min(2.0, low * weight[k]) for k in mine}
+        assert len({round(e, 9) for e in copies.values()}) > 3
+        md5 = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()
+        u = {k: (int(md5(f"{md5(f'{k}|0|{made[k][2]}|{md5(made[k][1])}')}|1")[:12], 16) + 0.5) / 2**48 for k in mine}
+        rank = {k: (u[k] / (1 - u[k])) / (p / (1 - p)) for k in mine if 0 < (p := copies[k] - int(copies[k])) < 1}
+        room, upto = target - sum(int(copies[k]) * size[k] for k in mine), 0
+        for k in sorted(rank, key=rank.get):
+            taken = upto + size[k] / 2 <= room
+            assert out[k][4] == int(copies[k]) + taken
+            upto += size[k]
+        orders += sorted(rank, key=rank.get) != sorted(rank, key=u.get)
+    assert orders == 2
+
+
+def test_mixing_of_a_repeated_row(spark):
+    made = [(7, "one two three four", "a")] * 3000 + [(7, sentence(1, 5), "a")] * 50 + [(k, sentence(k, 3), "b") for k in range(500)] + [(None, "x y", None)] * 40
+    for docs in (spark.createDataFrame(made, "doc_id long, text string, source string").repartition(5), spark.createDataFrame(made[::-1], "doc_id long, text string, source string").coalesce(1)):
+        out = mix(docs, "source", "doc_id")
+        for source in ("a", "b"):
+            taken, target = sum(r[2] * r[5] for r in out if r[0] == source), next(r[4] for r in out if r[0] == source)
+            assert abs(taken - target) < 0.01 * target
+        assert len(out) == len(made)
 
 
 def test_mixing_awkward(spark):
-    out = rows(mixing.mixed(awkward(spark)).select("doc_id", "size", "copies"))
-    assert len(out) == 13 and all(c == 0 for _, s, c in out if s == 0)
+    out = mix(awkward(spark), "doc_id")
+    assert len(out) == 13 and all(r[4] == 0 for r in out if r[1] == 0)
     assert rows(mixing.mixed(nothing(spark))) == []
 
 
 # 7
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("settings", [{}, {"query_bytes": 200, "block_rows": 32, "tile_rows": 3}])
+def test_nearest(spark, settings):
     rnd = np.random.default_rng(7)
     made = [(k, [float(np.float32(v)) for v in rnd.normal(size=8)]) for k in range(300)]
-    made += [(k, made[k % 3][1]) for k in range(300, 340)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [None] * 8), (404, []), (None, made[0][1]), (405, [1.0, 2.0])]
-    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("score", F.lit(2))
-    out = rows(ann.nearest(df, F.col("id") % 50 == 0, ann.Nearest(5, 4, 32)).orderBy("query_id", "rank"))
+    made += [(k, made[k % 3][1]) for k in range(300, 340)] + [(50, made[50][1]), (50, made[9][1]), (7, made[50][1]), (7, made[0][1])]
+    made += [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [None] * 8), (404, []), (None, made[0][1]), (405, [1.0, 2.0])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(3).withColumn("block", F.lit(1)).withColumn("score", F.lit(2)).withColumn("row", F.lit("x"))
+    out = rows(ann.nearest(df, F.col("id") % 50 == 0, ann.Nearest(5, **settings)))
     kept = [(k, np.array(v)) for k, v in made if k is not None and k < 340]
     wanted = []
-    for q, x in kept:
+    for at, (q, x) in enumerate(kept):
         if q % 50 == 0:
-            scores = sorted((-float(ann.cosine(x[None], y[None])[0]), k) for k, y in kept if k != q)
+            scores = sorted((-float(ann.cosine(x[None], y[None])[0]), k) for other, (k, y) in enumerate(kept) if other != at)
             wanted += [(q, r + 1, k, -s) for r, (s, k) in enumerate(scores[:5])]
-    assert out == sorted(wanted)
+    assert sorted(out) == sorted(wanted) and any(q == 50 and k == 50 for q, _, k, _ in out)
     assert rows(ann.nearest(df.where("false"), F.col("id") % 50 == 0)) == []
 
 
+def test_nearest_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [r[2] for r in sorted(rows(ann.nearest(df, F.col("id") % 50 == 0)))] == [1, 2, 1]
+
+
 # 8
 
 
