@@ -6,6 +6,7 @@ UTF-8, so all hashing runs on byte arrays in numpy, block by block, whatever a t
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -48,8 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders made while a sweep() is open.
+_SCRATCH: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex[:12]}-{label}"
+    path = f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex[:12]}-{label}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def sweep(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the scratch folders that were made inside, but for that of the table given to the function it yields."""
+    made, kept = [], []
+    _SCRATCH.append(made)
+    try:
+        yield lambda df: kept.extend(df.inputFiles()) or df
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            if not any(f"/{path.rpartition('/')[2]}/" in file for file in kept):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -219,3 +242,10 @@ def unused(columns: list[str], name: str) -> str:
 def own(columns: list[str]) -> list[Column]:
     """The columns of these names, whatever signs they hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def filtered(docs: DataFrame, work: Callable, text: str = "text") -> DataFrame:
+    """docs.mapInArrow(work, own schema), whatever signs the names hold; work finds the text in the column `text`, other columns under their numbers."""
+    names = [text if c == text else str(k) for k, c in enumerate(docs.columns)]
+    plain = docs.select(*(c.alias(n) for c, n in zip(own(docs.columns), names, strict=True)))
+    return plain.mapInArrow(tidy(work), plain.schema).toDF(*docs.columns)

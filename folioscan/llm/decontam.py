@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import filtered, mix64, share, table, text_slices, tidy
 
 
 @dataclass(frozen=True)
@@ -204,15 +204,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> Data
     """(doc_id, item_id, edits, start_char, end_char): the best place of each item in each document that holds it."""
     found = None
     for items in _blocks(benchmark, lemma):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, lemma))
+        index = share(docs.sparkSession, Index(items, lemma))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i, item, *at) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, at in index.value.hits(t).items()]
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[a + k], item, *at) for a, texts in text_slices(batch.column(1)) for k, t in enumerate(texts) for item, at in index.value.hits(t).items()]
                 kinds = (("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64()))
                 yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)})
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, item_id long, edits int, start_char long, end_char long")
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(scan), "doc_id long, item_id long, edits int, start_char long, end_char long")
         found = part if found is None else found.union(part)
     return found
 
@@ -220,14 +221,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> DataFrame:
     """docs' rows, all columns, without the contaminated ones."""
     for items in _blocks(benchmark, lemma):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, lemma))
-        at = docs.columns.index("text")
+        index = share(docs.sparkSession, Index(items, lemma))
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.value.hits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                for a, texts in text_slices(batch.column("text")):
+                    yield batch.slice(a, len(texts)).filter(pa.array([not index.value.hits(t) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = filtered(docs, scan)
     return docs
 
 

@@ -13,7 +13,7 @@ language's threshold, calibrated on training rows left out of the counts (`patie
 above their mean). The operator's `language` is then `und`; `nearest` still tells the best one.
 
 The models are fitted on the driver on a bounded sample: at most `max_rows` rows with a known language,
-shared evenly between languages, those with the smallest hash of their id; an id gives a language one row, its first text in order. Scoring is one pass over all rows.
+shared evenly between languages, those with the smallest hash of their id; an id gives a language one row, its first text in order, of which `row_chars` characters at most. Scoring is one pass over all rows.
 
 Defined cases: null text or one without any letter is `und` with score 0; without any training row every text is. Ties go to
 the first language by name. Every letter seen in training, of whatever script, has a symbol of its own or, beyond the 3,334
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches_of_texts, held_out, materialise, mix64, table
+from .common import batches_of_texts, held_out, materialise, mix64, share, table, text_slices, tidy
 
 BITS = 12  # of a symbol; five of them fit a key
 UNKNOWN = (1 << BITS) - 1
@@ -42,11 +42,12 @@ LEADS = 380  # where letters outnumber the symbols, the rarer ones are pairs of
 
 @dataclass(frozen=True)
 class Languages:
-    """order: characters of an n-gram; max_rows: bound of the sample; patience: of the rejection."""
+    """order: characters of an n-gram; max_rows: bound of the sample; patience: of the rejection; row_chars: of a sampled text, so that the sample is bounded in characters too."""
 
     order: int = 5
     max_rows: int = 6000
     patience: float = 8.0
+    row_chars: int = 1 << 16
 
 
 def _letters() -> np.ndarray:
@@ -248,21 +249,22 @@ def fitted(docs: DataFrame, p: Languages = Languages()) -> Models:
     few = ids.join(counts, "lang").where(F.col("h") <= bound)
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= share).select("doc_id", "lang", "h")
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id", "h").agg(F.substring(F.min("text"), 1, p.row_chars).alias("text")).collect()
     return Models([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))], p)
 
 
 def identified(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, language, nearest, score, cross_entropy) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(docs.sparkSession, models)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = shared.value.predict(batch.column(1).to_pylist())
-            columns = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("language", pa.string()), ("nearest", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64())))}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **columns})
+            for a, texts in text_slices(batch.column(1)):
+                rows = shared.value.predict(texts)
+                columns = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("language", pa.string()), ("nearest", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64())))}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, len(texts)), **columns})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, language string, nearest string, score double, cross_entropy double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(predict), "doc_id long, language string, nearest string, score double, cross_entropy double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

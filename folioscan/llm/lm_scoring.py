@@ -15,9 +15,10 @@ biases start at the corpus frequencies, so an untrained network is the unigram m
 Training is data-parallel: in each round every task starts from the broadcast weights, learns from every document of its
 share (every `stride`-th position of a text, another residue each round; as many rounds as `stride`, so that each token is a
 target once) by Adagrad in small batches, and sends its weights
-times its tokens, as integers in slices, so that sums do not depend on the order of tasks. Tasks that add the slices hold one sum
+times its share of all tokens, as integers in slices, so that sums do not depend on the order of tasks and fit 64 bits at every size. Tasks that add the slices hold one sum
 each; the driver gets one set of weights (about 1 MB, set by parameters). Tokens counted, tokens learned from and
-what is sent grow with the corpus.
+what is sent grow with the corpus. Which rows share a task follows from the files and their split sizes: the same files read with the same
+settings give the same scores, others give slightly different weights, for each task's Adagrad starts anew in each round.
 
 Defined cases: null, empty or blank text has 0 tokens and score 0 (mean null). Neighbours beyond the text are a padding token. Ties in the
 count go to the smaller hash. A word never counted is taken as half an occurrence. Repeated rows are scored alike; an empty table gives no rows. Only doc_id and text are read.
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, lower_bytes, materialise, scratch, shuffle_partitions, table, word_hashes
+from .common import lower_bytes, materialise, scratch, share, shuffle_partitions, table, text_slices, tidy, word_hashes
 
-FIXED_POINT = float(1 << 16)
+FIXED_POINT = float(1 << 40)  # of a weight times its task's share of all tokens, so that sums stay small at every size
 SLICE = 1 << 12
 COUNT_POINT = float(1 << 30)
 LEVELS = 8  # levels of word counts in an octave
@@ -53,13 +54,18 @@ class Network:
     rounds: int = 2
     stride: int = 2
     rate: float = 0.08
-    batch: int = 2048
+    batch: int = 8192
     usual: int = 1 << 18
 
     @property
     def classes(self) -> int:
         return self.ids // self.class_size
 
+    @property
+    def kind(self) -> type:
+        """Of ids that are sorted: 16 bits are sorted by radix."""
+        return np.int16 if self.ids < 1 << 15 else np.int32
+
     def shapes(self) -> list[tuple[int, ...]]:
         return [(self.ids + 1, self.width), (2 * self.window, self.width), (self.width,), (self.classes, self.width), (self.classes,), (self.classes, self.class_size, self.width), (self.classes, self.class_size)]
 
@@ -67,19 +73,30 @@ class Network:
 class Vocabulary:
     """Word hashes to ids: frequent words first, then buckets by hash. usual: sorted hashes and counts of the words whose level is `least` or more; path: the table of all counts."""
 
+    BITS = 20
+
     def __init__(self, hashes: np.ndarray, net: Network, buckets: np.ndarray, usual: tuple[np.ndarray, np.ndarray], least: int, path: str):
         self.order = np.argsort(hashes)
         self.sorted, self.net = hashes[self.order], net
-        self.buckets, self.usual, self.least, self.path = buckets, usual, least, path
+        # The id by the leading bits of a hash: -1 no word has them, -2 several have.
+        place, times = np.unique(hashes >> np.uint64(64 - self.BITS), return_counts=True)
+        self.direct = np.full(1 << self.BITS, -1, dtype=np.int16 if len(hashes) < 1 << 15 else np.int32)
+        self.direct[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = np.arange(len(hashes))
+        self.direct[place[times > 1].astype(np.int64)] = -2
+        self.hashes, self.buckets, self.usual, self.least, self.path = hashes, buckets, usual, least, path
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         net = self.net
-        out = (net.ids - net.buckets + (hashes >> np.uint64(20)) % np.uint64(net.buckets)).astype(np.int32)
-        if len(self.sorted):
-            at = np.searchsorted(self.sorted, hashes)
-            at[at == len(self.sorted)] = 0
-            known = self.sorted[at] == hashes
-            out[known] = self.order[at[known]]
+        out = ((hashes >> np.uint64(20)) % np.uint64(net.buckets)).astype(np.int32)
+        out += net.ids - net.buckets
+        at = self.direct.take((hashes >> np.uint64(64 - self.BITS)).astype(np.int64))
+        some = np.flatnonzero(at >= 0)
+        known = some[self.hashes[at[some]] == hashes[some]]
+        out[known] = at[known]
+        if len(some := np.flatnonzero(at == -2)):
+            near = np.minimum(np.searchsorted(self.sorted, hashes[some]), len(self.sorted) - 1)
+            known = self.sorted[near] == hashes[some]
+            out[some[known]] = self.order[near[known]]
         return out
 
     def within(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +139,7 @@ class Weights:
     def __init__(self, net: Network, counts: np.ndarray):
         rng = np.random.default_rng(1)
         self.net = net
+        self.rooms: dict[str, np.ndarray] = {}
         self.parts = [np.zeros(s, dtype=np.float32) for s in net.shapes()]
         self.parts[0][:] = rng.normal(0, 0.1, self.parts[0].shape)
         self.parts[1][:] = 1.0
@@ -138,23 +156,28 @@ class Weights:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def _hidden(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _room(self, name: str, rows: int, width: int) -> np.ndarray:
+        """Memory for one of the large intermediate arrays, kept from batch to batch."""
+        have = self.rooms.get(name)
+        if have is None or len(have) < rows or have.shape[1] != width:
+            have = self.rooms[name] = np.empty((rows, width), dtype=np.float32)
+        return have[:rows]
+
+    def _hidden(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(neighbours of each position, their embeddings, the hidden layer)."""
         net = self.net
         offsets = np.array([*range(-net.window, 0), *range(1, net.window + 1)])
         around = x[at[:, None] + offsets]
-        return around, np.tanh((self.parts[0][around] * self.parts[1]).sum(axis=1) + self.parts[2])
+        near = self._room("near", around.size, net.width)
+        near = self.parts[0].take(around.ravel(), axis=0, out=near, mode="clip").reshape(len(at), len(offsets), net.width)
+        return around, near, np.tanh(np.einsum("npd,pd->nd", near, self.parts[1]) + self.parts[2])
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+    def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(e to the outputs, in place, which count up to 60 either way; their sums)."""
+        np.clip(z, -60.0, 60.0, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        return z, z @ np.ones(z.shape[1], dtype=z.dtype)
 
     @staticmethod
     def _runs(c: np.ndarray) -> list[tuple[int, int, int]]:
@@ -162,56 +185,64 @@ class Weights:
         edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
         return list(zip(c[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
+    def _outputs(self, h: np.ndarray, c: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs for all classes and for the ids of each row's class; rows in order of their classes."""
+        _, _, _, uc, bc, uw, bw = self.parts
+        z = bw.take(c, axis=0, out=self._room("ids", len(c), self.net.class_size), mode="clip")
+        for j, a, b in runs:
+            z[a:b] += h[a:b] @ uw[j].T
+        y = np.matmul(h, uc.T, out=self._room("classes", len(c), self.net.classes))
+        y += bc
+        return y, z
+
     def log_probabilities(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p of the token at each position given its neighbours."""
         net, out = self.net, np.empty(len(at))
         for k in range(0, len(at), 1 << 13):
             some = at[k : k + (1 << 13)]
-            target = x[some]
-            by_class = np.argsort(target, kind="stable")
-            target = target[by_class]
-            c, w = target // net.class_size, target % net.class_size
-            _, h = self._hidden(x, some[by_class])
-            logp = self._log_softmax(h @ self.parts[3].T + self.parts[4])[np.arange(len(c)), c].astype(np.float64)
-            z = self.parts[6][c]
-            for j, a, b in self._runs(c):
-                z[a:b] += h[a:b] @ self.parts[5][j].T
-            logp += self._log_softmax(z)[np.arange(len(c)), w]
+            by_class = np.argsort(x[some].astype(net.kind), kind="stable")
+            some = some[by_class]
+            c, w = np.divmod(x[some], net.class_size)
+            rows = np.arange(len(some))
+            _, _, h = self._hidden(x, some)
+            logp = np.zeros(len(some))
+            for z, mine in zip(self._outputs(h, c, self._runs(c)), (c, w), strict=True):
+                e, total = self._exp(z)
+                logp += np.log(e[rows, mine].astype(np.float64) / total)
             out[k + by_class] = logp
         return out
 
     def learn(self, x: np.ndarray, at: np.ndarray, state: list[np.ndarray]) -> None:
         """One Adagrad step on the tokens at some positions; state: the sums of squares, one array a part."""
-        net, (emb, place, _, uc, bc, uw, bw) = self.net, self.parts
-        at = at[np.argsort(x[at], kind="stable")]
-        target = x[at]
-        c, w = target // net.class_size, target % net.class_size
-        around, h = self._hidden(x, at)
-        n = np.float32(len(at))
-        rows = np.arange(len(at))
-        d = -self._softmax(h @ uc.T + bc)
-        d[rows, c] += 1
+        net, (emb, place, _, uc, _, uw, _) = self.net, self.parts
+        at = at[np.argsort(x[at].astype(net.kind), kind="stable")]
+        c, w = np.divmod(x[at], net.class_size)
+        around, near, h = self._hidden(x, at)
+        n, rows, runs = np.float32(len(at)), np.arange(len(at)), self._runs(c)
+        slopes = []
+        for z, mine in zip(self._outputs(h, c, runs), (c, w), strict=True):
+            d, total = self._exp(z)
+            d /= -total[:, None]
+            d[rows, mine] += 1
+            slopes.append(d)
+        d, within = slopes
         grads = [None, *(np.zeros_like(p) for p in self.parts[1:])]
         grads[3], grads[4] = d.T @ h, d.sum(axis=0)
         back = d @ uc
-        runs, d = self._runs(c), bw[c]
-        for k, a, b in runs:
-            d[a:b] += h[a:b] @ uw[k].T
-        d = -self._softmax(d)
-        d[rows, w] += 1
         for k, a, b in runs:
-            grads[5][k] = d[a:b].T @ h[a:b]
-            back[a:b] += d[a:b] @ uw[k]
-        grads[6][[k for k, _, _ in runs]] = np.add.reduceat(d, [a for _, a, _ in runs], axis=0)
+            grads[5][k] = within[a:b].T @ h[a:b]
+            grads[6][k] = within[a:b].sum(axis=0)
+            back[a:b] += within[a:b] @ uw[k]
         back *= 1 - h * h
-        near = emb[around]
-        grads[1], grads[2] = (near * back[:, None, :]).sum(axis=0), back.sum(axis=0)
-        each = (back[:, None, :] * place).reshape(-1, net.width)
-        flat = around.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        some = flat[order][first]  # other rows have no gradient, so nothing of theirs changes
-        g = np.add.reduceat(each[order], first, axis=0) / n
+        grads[1], grads[2] = np.einsum("npd,nd->pd", near, back), back.sum(axis=0)
+        flat = around.ravel()
+        order = np.argsort(flat.astype(net.kind), kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        some = flat[first]  # other rows have no gradient, so nothing of theirs changes
+        each = back.take(order // len(place), axis=0, out=self._room("each", len(flat), net.width), mode="clip")
+        each *= place.take(order % len(place), axis=0, out=self._room("places", len(flat), net.width), mode="clip")
+        g = np.add.reduceat(each, first, axis=0) / n
         state[0][some] += g * g
         emb[some] += net.rate * g / (np.sqrt(state[0][some]) + 1e-4)
         for p, g, s in zip(self.parts[1:], grads[1:], state[1:], strict=True):
@@ -241,12 +272,11 @@ def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
 
         held, rows = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in batches_of_texts(texts):
-                u, n = np.unique(np.concatenate([word_hashes(lower_bytes(t)) for t in texts[a:b]]), return_counts=True)
+            for _, texts in text_slices(batch.column(0)):
+                u, n = np.unique(np.concatenate([word_hashes(lower_bytes(t)) for t in texts]), return_counts=True)
                 held.append((u, n))
                 rows += len(u)
-            if rows > 4_000_000:
+            if rows > 2_000_000:
                 u, n = out(held)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(u.view(np.int64)), "n": pa.array(n)})
                 held, rows = [], 0
@@ -255,7 +285,7 @@ def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"word": pa.array(u.view(np.int64)), "n": pa.array(n)})
 
     path = scratch(docs.sparkSession, "words")
-    docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(path)
+    docs.select("text").mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(path)
     every = docs.sparkSession.read.schema("word long, n long").parquet(path)
     top = every.orderBy(F.desc("n"), "word").limit(net.ids - net.buckets).collect()
     counts = np.zeros(net.ids)
@@ -281,10 +311,10 @@ def _counts(docs: DataFrame, net: Network) -> tuple[Vocabulary, np.ndarray]:
 def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weights]:
     spark = docs.sparkSession
     vocabulary, counts = _counts(docs, net)
-    weights = Weights(net, counts)
-    shared_words = spark.sparkContext.broadcast(vocabulary)
+    weights, tokens = Weights(net, counts), max(1.0, float(counts.sum()))
+    shared_words = share(spark, vocabulary)
     for turn in range(net.rounds):
-        shared = spark.sparkContext.broadcast(weights.flat())
+        shared = share(spark, weights.flat())
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             own = Weights(net, np.ones(net.ids))
@@ -292,16 +322,15 @@ def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weig
             state = [np.full(p.shape, 1e-6, dtype=np.float32) for p in own.parts]
             seen = 0
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in batches_of_texts(texts):
-                    x, at, owner = shared_words.value.encode(texts[a:b])
+                for _, texts in text_slices(batch.column(0)):
+                    x, at, owner = shared_words.value.encode(texts)
                     at = at[residues(x, at, owner, net.stride) == turn % net.stride]
                     at = at[np.random.default_rng(len(at)).permutation(len(at))]
                     for k in range(0, len(at), net.batch):
                         own.learn(x, at[k : k + net.batch], state)
                     seen += len(at)
             if seen:
-                flat = np.rint(own.flat().astype(np.float64) * seen * FIXED_POINT).astype(np.int64)
+                flat = np.rint(own.flat().astype(np.float64) * (seen / tokens) * FIXED_POINT).astype(np.int64)
                 cut = range(0, len(flat), SLICE)
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(cut)), pa.int32()), "n": pa.array([seen] * len(cut), pa.int64()), "sums": pa.array([flat[k : k + SLICE].tobytes() for k in cut], pa.binary())})
 
@@ -317,26 +346,27 @@ def trained(docs: DataFrame, net: Network = Network()) -> tuple[Vocabulary, Weig
 
         kind = "slice int, n long, sums binary"
         # two levels of adding, so that no task meets the slices of all others at once
-        part = docs.select("text").mapInArrow(learn, kind).withColumn("salt", F.pmod(F.xxhash64("n", "sums"), F.lit(16)))
+        part = docs.select("text").mapInArrow(tidy(learn), kind).withColumn("salt", F.pmod(F.xxhash64("n", "sums"), F.lit(16)))
         once = part.repartition(shuffle_partitions(spark), "slice", "salt").drop("salt").mapInArrow(add, kind)
         rows = sorted(once.repartition(min(16, shuffle_partitions(spark)), "slice").mapInArrow(add, kind).collect(), key=lambda r: r["slice"])
         if not rows:
             break
-        weights.set(np.concatenate([np.frombuffer(r["sums"], dtype=np.int64) / (r["n"] * FIXED_POINT) for r in rows]))
+        weights.set(np.concatenate([np.frombuffer(r["sums"], dtype=np.int64) / (r["n"] / tokens * FIXED_POINT) for r in rows]))
+        shared.unpersist()
     return vocabulary, weights
 
 
 def scored(docs: DataFrame, model: tuple[Vocabulary, Weights]) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in batches_of_texts(texts):
-                words = [word_hashes(lower_bytes(t)) for t in texts[a:b]]
+            for a, texts in text_slices(batch.column(2)):
+                b = a + len(texts)
+                words = [word_hashes(lower_bytes(t)) for t in texts]
                 x, at, owner = vocabulary.encode_words(words)
                 words = np.concatenate(words)
                 within, rare = vocabulary.within(words, x[at])
@@ -347,7 +377,7 @@ def scored(docs: DataFrame, model: tuple[Vocabulary, Weights]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"row": batch.column(0).slice(a, b - a), "doc_id": batch.column(1).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "part": pa.array(total, pa.float64()), "rest": rest})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(rows.mapInArrow(score, "row long, doc_id long, n_tokens long, part double, rest array<long>"), "scores")
+    rows = materialise(rows.mapInArrow(tidy(score), "row long, doc_id long, n_tokens long, part double, rest array<long>"), "scores")
     # integers, so that sums do not depend on the order of rows
     log = lambda n: F.rint(F.log(n) * COUNT_POINT).cast("long")
     words = spark.read.schema("word long, n long").parquet(model[0].path).where(_level() < model[0].least).select("word", log(F.col("n")).alias("log"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import ann, chat, decontam, language_id, lm_scoring, mixing, ngram_join, sharding, token_files, toxicity
+from . import ann, chat, decontam, language_id, lm_scoring, mixing, ngram_join, sharding, stages, token_files, toxicity
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontam.op8_decontamination,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_sharding": sharding.op10_sharding,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
     }
 
 

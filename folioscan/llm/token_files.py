@@ -17,9 +17,9 @@ whole: a task that is run again leaves nothing half-written, and the manifest na
 Files go to the shared folder by pyarrow's file systems, so to hdfs, s3, gs or a mounted folder alike.
 
 Tokenising: the tokenizers library splits a text into words, which do not influence each other. Texts in
-Latin-1 are normalised and split here by the same rules and each distinct word is encoded by the library
-once for each Python worker (a bounded memory of words); all other texts, and texts with a special token's mark, are
-encoded whole by the library. Both give the same ids.
+Latin-1 are normalised and split here by the same rules, in runs of 65,536 characters that end at white space, and
+words that come again are encoded by the library once for each Python worker (a bounded memory of words); all other texts, texts with a special token's mark,
+and all texts where the vocabulary's file names other rules than these, are encoded whole by the library. Both give the same ids.
 
 Defined cases: null or empty text is a document with the end id alone. Ties and repeated rows are each
 written, in an order that depends on the text only. An empty table gives no file and no row. Only
@@ -28,6 +28,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, scratch, shuffle_partitions, table
+from .common import scratch, shuffle_partitions, table, text_slices, tidy
 
 MAGIC = b"FSTOKENS"
 ENTRY = np.dtype([("doc_id", "<i8"), ("size", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
@@ -56,7 +57,7 @@ class Tokens:
     vocabulary: str | None = None
     end_id: int = 1
     level: int = 1
-    words: int = 1 << 19
+    words: int = 1 << 17
 
     def path(self) -> str:
         if self.vocabulary:
@@ -69,23 +70,58 @@ class Tokens:
 class Encoder:
     """Whole texts to ids, as Tokenizer.encode(text, add_special_tokens=False) gives them."""
 
-    # The vocabulary's own splitting rule, for lower-cased Latin-1.
+    # The splitting rule below, for lower-cased Latin-1.
     LETTER, NUMBER, SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc\xbd\xbe", "\\x09-\\x0d\\x20\x85\xa0"
     SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+    WHITE = re.compile(f"[{SPACE}]")
+    #: The rules of a vocabulary whose words are encoded one by one, as its file names them (fixed values).
+    NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, tokens: Tokens):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokens.path())
+        with open(tokens.path(), encoding="utf-8") as file:
+            rules = json.load(file)
+        self.by_words = rules.get("normalizer") == self.NORMALISER and rules.get("pre_tokenizer") == self.SPLITTER and not rules.get("truncation")
+        self.by_words &= rules.get("model", {}).get("type") == "BPE" and not rules["model"].get("dropout") and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # known words that a second run of text has
         self.tokens = tokens
-        self.by_words = os.path.basename(tokens.path()) == "word_bpe_49k.json"
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and tokens.end_id < 1 << 16 else 4
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _runs(self, text: str, most: int = 1 << 16) -> Iterator[str]:
+        """The text in runs of about `most` characters that end before white space."""
+        at = 0
+        while at < len(text):
+            found = self.WHITE.search(text, at + most)
+            end = found.start() if found else len(text)
+            yield text if not at and end == len(text) else text[at:end]
+            at = end
+
+    def _words(self, words: list[str]) -> bytes:
+        distinct = set(words)
+        new = [w for w in distinct if w not in self.known]
+        self.again.update(distinct.difference(new))
+        if len(self.known) + len(new) > self.tokens.words:  # words that came again stay, half of the room at most
+            kept = self.again.union(distinct) if 2 * len(self.again) <= self.tokens.words else distinct
+            self.known = {w: self.known[w] for w in kept if w in self.known}
+            self.again = set()
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, words))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, the end id included."""
         end = struct.pack("<I", self.tokens.end_id)
@@ -98,20 +134,7 @@ class Encoder:
                     text.encode("latin-1")
                 except UnicodeEncodeError:
                     plain = False
-            if not plain:
-                out.append(self._whole(text) + end)
-                continue
-            words = self.SPLIT.findall(text.lower())
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)) + end)
-            except KeyError:
-                distinct = set(words)
-                if len(self.known) + len(distinct) > self.tokens.words:
-                    self.known.clear()
-                new = [w for w in distinct if w not in self.known]
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                out.append(b"".join(map(self.known.__getitem__, words)) + end)
+            out.append((b"".join(self._words(self.SPLIT.findall(run.lower())) for run in self._runs(text)) if plain else self._whole(text)) + end)
         return out
 
 
@@ -154,9 +177,9 @@ def write_files(docs: DataFrame, folder: str, tokens: Tokens = Tokens()) -> Data
         encoder, press = encoder_of(tokens), zstandard.ZstdCompressor(level=tokens.level, write_checksum=True)
         target, sink, entries, name = None, None, [], f"tokens-{part:06d}-{uuid.uuid4().hex[:8]}.fst"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_of_texts(texts):
-                for doc_id, data in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+            ids = batch.column(0).to_pylist()
+            for a, texts in text_slices(batch.column(1)):
+                for doc_id, data in zip(ids[a : a + len(texts)], encoder.encode(texts), strict=True):
                     if sink is None:
                         target, path = file_system(folder)
                         target.create_dir(path, recursive=True)
@@ -174,7 +197,7 @@ def write_files(docs: DataFrame, folder: str, tokens: Tokens = Tokens()) -> Data
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "docs": pa.array([len(entry)], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     manifest = f"{folder}/manifest"
-    rows.select("doc_id", "text").mapInArrow(write, "part int, file string, docs long, ids long").write.parquet(manifest)
+    rows.select("doc_id", "text").mapInArrow(tidy(write), "part int, file string, docs long, ids long").write.parquet(manifest)
     return spark.read.schema("part int, file string, docs long, ids long").parquet(manifest)
 
 
@@ -229,7 +252,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     if not starts:
         return spark.createDataFrame([], schema)
     files = spark.createDataFrame(starts, "file string, start long").repartition(min(len(starts), shuffle_partitions(spark)), "file")
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(tidy(read), schema)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ histogram splits) are fitted on those; scores of left-out thirds calibrate the m
 pool-adjacent-violators, interpolated between blocks.
 
 The classifier is fitted on the driver on a bounded sample: at most `max_rows` labelled rows, those with the
-smallest hash of their id. Scoring is one pass over all documents without a shuffle.
+smallest hash of their id; an id gives one row, its first text in order, of which `row_chars` characters at most. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null and empty texts are scored like any other (all features 0); repeated label rows
 of an id count once, toxic if any of them is; labels with null toxic or without a document are not used. With no
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import filtered, held_out, share, table, text_slices, tidy
 
 WORDS = re.compile(r"[^\W\d_]+")
 OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0-9@$!*+|.]+[^\W\d_]+)+")
@@ -42,12 +42,13 @@ LOOK_ALIKE = str.maketrans("013457@$!|+", "oieastasiit", "*.")
 #: Second-person words of the languages at hand.
 YOU = frozenset("you your yours yourself youre ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen deiner ihr euch euer tú ti tuyo tuya usted ustedes vosotros os".split())
 STEMS = (4, 5, 6, 7)
+NOTHING = (0.0, 0.0)  # the weights of words outside the lexicon
 NAMES = ("log_words", "word_density", "log_word_hits", "distinct_words", "stem_density", "log_stem_hits", "distinct_stems", "weight_density", "log_weight", "top_weight", "near_you", "you_density", "capitals", "punctuation", "exclaim", "obfuscated", "unmasked", "repeats")
 
 
 @dataclass(frozen=True)
 class Toxic:
-    """max_rows: bound of the labelled sample; rounds, depth, rate, bins, leaf: of the trees; least_docs: toxic rows that a lexicon entry needs; least_weight: its log odds; near: words to a second-person word."""
+    """max_rows: bound of the labelled sample; rounds, depth, rate, bins, leaf: of the trees; least_docs: toxic rows that a lexicon entry needs; least_weight: its log odds; near: words to a second-person word; remembered: words whose weights a worker keeps; row_chars: of a sampled text, so that the sample is bounded in characters too."""
 
     max_rows: int = 6_000
     rounds: int = 60
@@ -58,7 +59,8 @@ class Toxic:
     least_docs: int = 3
     least_weight: float = 1.2
     near: int = 6
-    remembered: int = 200_000
+    remembered: int = 1 << 16
+    row_chars: int = 1 << 16
 
 
 class Lexicon:
@@ -87,7 +89,8 @@ class Lexicon:
             if len(self.known) >= self.p.remembered:
                 self.known.clear()
             stem = max((self.weights.get((word[:n],), 0.0) for n in STEMS if len(word) >= n), default=0.0)
-            found = self.known[word] = (self.weights.get(word, 0.0), stem)
+            found = (self.weights.get(word, 0.0), stem)
+            found = self.known[word] = found if found != NOTHING else NOTHING
         return found
 
     def features(self, text: str | None) -> list[float]:
@@ -97,7 +100,7 @@ class Lexicon:
         n = max(1, len(words))
         known, of = self.known, self.of
         codes = [known.get(w) or of(w) for w in words]
-        hits = [(k, c) for k, c in enumerate(codes) if c != (0.0, 0.0)]
+        hits = [(k, c) for k, c in enumerate(codes) if c is not NOTHING]
         word_hits = [k for k, c in hits if c[0]]
         stem_hits = [k for k, c in hits if c[1]]
         total = sum(max(c) for _, c in hits)
@@ -227,31 +230,33 @@ def fitted(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    rows = rows.groupBy("doc_id", "toxic", "h").agg(F.substring(F.min("text"), 1, p.row_chars).alias("text"))
     sample = sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"], r["text"]))
     return Model([r["text"] for r in sample], np.array([float(r["toxic"] > 0) for r in sample]), np.array([r["h"] & 1 for r in sample]), p)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxicity) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], names=["doc_id", "toxicity"])
+            for a, texts in text_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(shared.value.scores(texts))], names=["doc_id", "toxicity"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, toxicity double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(score), "doc_id long, toxicity double")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs' rows, all columns, without those that score threshold or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    shared = share(docs.sparkSession, model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
+            for a, texts in text_slices(batch.column("text")):
+                yield batch.slice(a, len(texts)).filter(pa.array(shared.value.scores(texts) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
