@@ -1,75 +1,8 @@
 """From raw documents to token files: toxicity, near duplicates, decontamination, mixing, token output.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet
-in the shared folder and reads them back as the next one's docs. All but the last return docs' columns.
-Rows with a null id are judged by their text in every stage; an empty table passes all stages.
+STAGES lists the stages, (name, function of (spark, docs, sf_dir)); run(spark, sf_dir) applies them to documents.
 """
 
-from __future__ import annotations
+from folioscan.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from folioscan.llm import decontam, mixing, ngram_join, token_files, toxicity
-from folioscan.llm.common import materialise, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the model is fitted on labelled rows of these documents."""
-    return toxicity.accepted(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows (5-word shingles, Jaccard 0.75 or more) the one with the smallest id, one without an id last; equal rows once.
-
-    Rows are told apart by a hash of id and text, so null ids and ids with several texts are compared by text like all others.
-    """
-    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
-    keyed = docs.select("doc_id", "text", row.alias("row"))
-    members = ngram_join.components(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
-    ids = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("first")
-    found = members.distinct().join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias("row"), F.col("first.times").alias("times"))
-    found = materialise(found, "kept")
-    rows = docs.withColumn("__row", row)
-    kept = lambda some: rows.join(some.withColumnRenamed("row", "__row"), "__row", "left_semi").select(docs.columns)
-    out = kept(found.where("times = 1"))
-    again = found.where("times > 1")
-    if not again.isEmpty():
-        out = out.unionByName(kept(again).dropDuplicates(["doc_id", "text"]))
-    return out
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within the edit budget."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = mixing.mixed(docs).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
-
-
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; for each document what its frame holds."""
-    return token_files.tokenised(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("tokens", write_tokens),
-]
-
-#: The toxicity scores come from fitted trees, which SQL cannot express; tests hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
