@@ -104,6 +104,7 @@ class Index:
                     a = code_points(text[c : c + length])
                     self.pieces.append((item, a, lemma.budget(len(a))))
                     self.part.append(length < lemma.most_chars)
+        self.strings = [a.tobytes().decode("utf-32-le", "surrogatepass") for _, a, _ in self.pieces]
         grams = [qgrams(a, lemma.q) for _, a, _ in self.pieces]
         every = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         piece = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.empty(0, dtype=np.int64)
@@ -152,10 +153,17 @@ class Index:
                 best[item] = min(best.get(item, (9**9,)), (0, 0, at, at + len(s)))
         overlap = 2 * self.lemma.most_chars
         for start in range(0, max(1, len(text) - overlap), self.lemma.scan_chars):
-            a = code_points(text[start : start + self.lemma.scan_chars + overlap])
-            for p, diagonal in self.candidates(a):
+            block = text[start : start + self.lemma.scan_chars + overlap]
+            a = code_points(block)
+            for p, diagonal in sorted(self.candidates(a), key=lambda c: self.part[c[0]]):  # wholes first
                 item, piece, k = self.pieces[p]
-                found = align(piece, a, diagonal, 2 * int(self.band[p]), k)
+                if self.part[p] and item in best and not best[item][0]:
+                    continue  # the whole is reported before a part
+                width = 2 * int(self.band[p])
+                if (at := block.find(self.strings[p], max(0, diagonal - k), max(0, diagonal + width + k - 1 + len(piece)))) >= 0:
+                    found = 0, at, at + len(piece)  # an exact copy needs no alignment
+                else:
+                    found = align(piece, a, diagonal, width, k)
                 if found and (found := (self.part[p], found[0], found[1] + start, found[2] + start)) < best.get(item, (9**9,)):
                     best[item] = found
         return {item: place[1:] for item, place in best.items()}

@@ -28,6 +28,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
@@ -89,6 +90,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokens.path())
+        self.bare = Tokenizer(self.tokenizer.model)  # of one word, normalised and split already, its bytes written as the vocabulary writes them
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        self.letters = {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(shown)))}
         with open(tokens.path(), encoding="utf-8") as file:
             rules = json.load(file)
         self.by_words = rules.get("normalizer") == self.NORMALISER and rules.get("pre_tokenizer") == self.SPLITTER and not rules.get("truncation")
@@ -118,8 +122,9 @@ class Encoder:
             kept = self.again.union(distinct) if 2 * len(self.again) <= self.tokens.words else distinct
             self.known = {w: self.known[w] for w in kept if w in self.known}
             self.again = set()
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new]
+        for w, e in zip(new, self.bare.encode_batch_fast(spelled, add_special_tokens=False), strict=True):
+            self.known[w] = array.array("I", e.ids).tobytes()
         return b"".join(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
