@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +40,3 @@ def label_pattern(label: str) -> str:
     """The value after a label, up to the end of its line."""
     return "(?iudU)" + literal(label) + r"\s*[:\-]?\s*(.{1,500}?)(?:\n|$)"
 
-
-def title(words: str) -> str:
-    return re.sub(r"[A-Za-z]+", lambda m: m[0].capitalize(), words)

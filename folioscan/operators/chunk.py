@@ -111,17 +111,26 @@ def tables_only(tables: DataFrame, cells: DataFrame, sections: DataFrame | None
     return out.select("document_id", "ordinal", F.col("markdown").alias("text"), F.lit("table").alias("chunk_type"), F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), pages.alias("page_numbers"), "sheet_name", token_estimate(F.col("markdown")).alias("token_count"))
 
 
+def cited(chunks: DataFrame) -> DataFrame:
+    """Chunks with what any of them may lack, and a citation for each page (or the sheet) that they come from: its number, the sheet and the chunk's first 100 characters."""
+    for name, kind in (("section_path", "array<string>"), ("sheet_name", "string")):
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, (F.array() if kind.startswith("array") else F.lit(None)).cast(kind))
+    pages = F.when((F.size("page_numbers") == 0) & F.col("sheet_name").isNotNull(), F.array(F.lit(None).cast("int"))).otherwise(F.col("page_numbers"))
+    cite = F.transform(pages, lambda p: F.struct(F.col("document_id"), p.alias("page_number"), F.col("sheet_name"), F.substring("text", 1, 100).alias("snippet")))
+    return chunks.select("document_id", "text", "chunk_type", "section_path", "page_numbers", "sheet_name", "token_count", cite.alias("citations"))
+
+
 STRATEGIES = ("fixed_size", "section_aware", "table_only")
 
 
 def chunk(blocks: DataFrame, sections: DataFrame, tables: DataFrame, cells: DataFrame, config: Chunking = Chunking()) -> DataFrame:
-    """(document_id, text, chunk_type, page_numbers, token_count) by the configured strategy."""
-    shown = ("document_id", "text", "chunk_type", "page_numbers", "token_count")
+    """(document_id, text, chunk_type, section_path, page_numbers, sheet_name, token_count, citations) by the configured strategy."""
     if config.strategy == "fixed_size":
-        return fixed_size(blocks, config).select(*shown)
+        return cited(fixed_size(blocks, config))
     if config.strategy == "table_only":
-        return tables_only(tables, cells, sections).select(*shown)
+        return cited(tables_only(tables, cells, sections))
     if config.strategy == "section_aware":
-        out = section_aware(blocks, sections, config).select(*shown)
-        return out.unionByName(tables_only(tables, cells, sections).select(*shown)) if config.include_tables else out
+        out = cited(section_aware(blocks, sections, config))
+        return out.unionByName(cited(tables_only(tables, cells, sections))) if config.include_tables else out
     raise ValueError(f"unknown strategy {config.strategy!r}; known are {', '.join(STRATEGIES)}")

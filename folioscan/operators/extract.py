@@ -32,18 +32,27 @@ def auto_schema(classes: DataFrame) -> DataFrame:
     return classes.select("document_id", F.coalesce(F.try_element_at(F.filter(named, lambda x: x.isNotNull()), F.lit(1)), F.lit("table")).alias("schema_id"))
 
 
-def text_fields(blocks: DataFrame, schema: Schema, tables: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """Every field of the schema for every document with blocks: after its label in the text (the first variant with a value), else below it in a table.
+def text_fields(blocks: DataFrame, schema: Schema, tables: DataFrame | None = None, cells: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """Every field of the schema for every document (those of documents, or with blocks): after its label in the text (the first variant with a value), else below it in a table.
 
-    Fields and label patterns are one literal array, walked by higher-order functions, so the plan's code does not grow with the schema."""
+    Patterns are literals, compiled once, and tried in turn only where the label occurs; variants that differ in case alone are one."""
     texts = graph.document_texts(blocks)
-    wanted = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"), F.array(*[F.lit(label_pattern(v)) for v in label_variants(f.name)]).alias("patterns")) for k, f in enumerate(schema.fields)])
-
-    def found(f: Column) -> Column:
-        raws = F.transform(f["patterns"], lambda p, k: F.struct(F.regexp_replace(strip(F.call_function("regexp_extract", F.col("text"), p, F.lit(1))), "[;,]+$", "").alias("raw"), k.alias("k")))
-        return F.struct(f["ordinal"].alias("ordinal"), f["field_path"].alias("field_path"), f["field_type"].alias("field_type"), F.try_element_at(F.filter(raws, lambda r: r["raw"] != ""), F.lit(1)).alias("best"))
-
-    rows = texts.select("document_id", F.explode(F.transform(wanted, found)).alias("e")).select("document_id", "e.ordinal", "e.field_path", "e.field_type", F.col("e.best.raw").alias("value_str"), F.col("e.best.k").alias("k"))
+    if documents is not None:
+        texts = documents.select("document_id").join(texts, "document_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = texts.withColumn("folded", F.lower(F.upper("text")))  # holds a label wherever its pattern, which ignores case, can match
+
+    def found(k: int, f) -> Column:
+        variants: dict[str, int] = {}
+        for place, v in enumerate(label_variants(f.name)):
+            variants.setdefault(v.lower(), place)
+        tries = []
+        for v, place in variants.items():
+            raw = F.nullif(F.regexp_replace(strip(F.regexp_extract("text", label_pattern(v), 1)), "[;,]+$", ""), F.lit(""))
+            tries.append(F.when(F.contains("folded", F.lit(v)), F.concat(F.lit(f"{place:02d}"), raw)))
+        return F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"), F.coalesce(*tries).alias("best"))
+
+    rows = texts.select("document_id", F.explode(F.array(*(found(k, f) for k, f in enumerate(schema.fields)))).alias("e"))
+    rows = rows.select("document_id", "e.ordinal", "e.field_path", "e.field_type", F.expr("substring(e.best, 3)").alias("value_str"), F.substring("e.best", 1, 2).cast("int").alias("k"))
     raw = F.col("value_str")
     number = F.when(F.col("field_type").isin("number", "currency"), coerce(raw, "number")[1]).when(F.col("field_type") == "integer", coerce(raw, "integer")[1])
     kind = F.when(raw.isNull(), "null").when(number.isNotNull(), "number").otherwise("string")
@@ -80,18 +89,34 @@ def _any(text: Column, labels: list[str]) -> Column:
 
 
 def adjacent_fields(sheets: DataFrame, tables: DataFrame, cells: DataFrame, schema: Schema) -> DataFrame:
-    """The value right of a cell that holds the field's name: of the first sheet, its last table, the first such cell."""
+    """Every field of the schema for every document with sheets: the value right of a cell that holds the field's name (of the first sheet, its last table, the first such cell), null with confidence 0 where there is none."""
     placed = cells.join(tables.where("sheet_name is not null").select("document_id", "table_id", "sheet_name", F.col("ordinal").alias("t")), ["document_id", "table_id"])
     placed = placed.join(sheets.select("document_id", F.col("name").alias("sheet_name"), F.col("index").alias("s")), ["document_id", "sheet_name"])
     names = [F.when(F.contains(F.lower("value"), F.lit(f.name.replace("_", " "))), F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"))) for k, f in enumerate(schema.fields)]
     labels = placed.select("document_id", "table_id", "row_index", (F.col("column_index") + 1).alias("column_index"), "s", "t", F.col("ordinal").alias("c"), F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("f"))
     right = cells.groupBy("document_id", "table_id", "row_index", "column_index").agg(F.min_by(F.struct("value", "source_cell_ref"), "ordinal").alias("n"))
     found = labels.join(right, ["document_id", "table_id", "row_index", "column_index"])
-    best = found.groupBy("document_id", "f").agg(F.min_by("n", F.struct("s", (-F.col("t")).alias("t"), "c")).alias("n"))
-    value = F.col("n.value")
-    number = F.when(F.col("f.field_type").isin("number", "currency"), coerce(value, "number")[1]).when(F.col("f.field_type") == "integer", coerce(value, "integer")[1])
-    kind = F.when(number.isNotNull(), "number").otherwise("string")
-    return best.select("document_id", F.lit(schema.id).alias("schema_id"), "f.ordinal", "f.field_path", kind.alias("value_kind"), value.alias("value_str"), number.alias("value_num"), F.lit(None).cast("array<string>").alias("value_list"), F.lit(0.8).alias("confidence"), F.coalesce(F.concat(F.lit("cell "), "n.source_cell_ref"), F.lit("cell")).alias("citation"))
+    best = found.groupBy("document_id", F.col("f.ordinal").alias("ordinal")).agg(F.min_by("n", F.struct("s", (-F.col("t")).alias("t"), "c")).alias("n"))
+    fields = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type")) for k, f in enumerate(schema.fields)))
+    wanted = sheets.select("document_id").distinct().select("document_id", F.explode(fields).alias("f")).select("document_id", "f.*")
+    best = wanted.join(best, ["document_id", "ordinal"], "left")
+    value, kind_of = F.col("n.value"), F.col("field_type")
+    number = F.when(kind_of.isin("number", "currency"), coerce(value, "number")[1]).when(kind_of == "integer", coerce(value, "integer")[1])
+    kind = F.when(F.col("n").isNull(), "null").when(number.isNotNull(), "number").otherwise("string")
+    cited = F.when(F.col("n").isNotNull(), F.coalesce(F.concat(F.lit("cell "), "n.source_cell_ref"), F.lit("cell")))
+    sure = F.when(F.col("n").isNull(), 0.0).otherwise(0.8)
+    return best.select("document_id", F.lit(schema.id).alias("schema_id"), "ordinal", "field_path", kind.alias("value_kind"), value.alias("value_str"), number.alias("value_num"), F.lit(None).cast("array<string>").alias("value_list"), sure.alias("confidence"), cited.alias("citation"))
+
+
+def warnings(fields: DataFrame, schema: Schema) -> DataFrame:
+    """(document_id, schema_id, field_path, message) of required fields without a value."""
+    needed = [f.name for f in schema.fields if f.required]
+    return fields.where((F.col("value_kind") == "null") & F.col("field_path").isin(*needed)).select("document_id", "schema_id", "field_path", F.concat(F.lit("Required field not found: "), "field_path").alias("message"))
+
+
+def extraction_id() -> Column:
+    """The id of a document's extraction by a schema; the same whenever it is made."""
+    return F.substring(F.sha2(F.concat_ws("\n", "document_id", "schema_id"), 256), 1, 16)
 
 
 # Patterns of register specifications and the headers of bit tables.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +26,92 @@ class Schema:
     version: str = "1.0"
 
 
-# The built-in schemas; * marks required fields, a type follows a colon, else string.
-BUILT_IN = {
-    "invoice": "vendor_name* vendor_address invoice_number* invoice_date*:date due_date:date purchase_order line_items*:array subtotal*:currency tax:currency total*:currency currency payment_terms",
-    "contract": "parties*:array effective_date*:date termination_clause* renewal_terms governing_law* payment_terms obligations*:array liability_limit confidentiality_clause notice_address",
-    "financial_model": "workbook_summary* key_sheets*:array assumption_cells*:array revenue_drivers*:array cost_drivers:array output_metrics*:array hidden_sheet_warnings:array",
-    "table": "headers*:array rows*:array row_count*:integer",
-    "register_spec": "register_name* base_address* register_width:integer description bit_fields*:array",
-    "data_table": "table_name columns*:array rows*:array row_count*:integer",
-}
+# Ids, fields, types and required flags of the built-in schemas.
+BUILT_IN = (
+    Schema(
+        "invoice",
+        "Invoice",
+        (
+            FieldDef("vendor_name", "string", True, "Who sends the invoice"),
+            FieldDef("vendor_address", "string", False, "Where the sender is"),
+            FieldDef("invoice_number", "string", True, "The invoice's own number"),
+            FieldDef("invoice_date", "date", True, "When it was issued"),
+            FieldDef("due_date", "date", False, "When it must be paid"),
+            FieldDef("purchase_order", "string", False, "The order that it bills"),
+            FieldDef("line_items", "array", True, "What is billed, line by line"),
+            FieldDef("subtotal", "currency", True, "Sum of the lines, before tax"),
+            FieldDef("tax", "currency", False, "Tax on the sum"),
+            FieldDef("total", "currency", True, "What is to be paid"),
+            FieldDef("currency", "string", False, "Code of the currency, such as EUR"),
+            FieldDef("payment_terms", "string", False, "How and when to pay"),
+        ),
+        "An invoice: who bills whom, when, and how much.",
+    ),
+    Schema(
+        "contract",
+        "Contract",
+        (
+            FieldDef("parties", "array", True, "Who signs"),
+            FieldDef("effective_date", "date", True, "When it takes effect"),
+            FieldDef("termination_clause", "string", True, "How it can be ended"),
+            FieldDef("renewal_terms", "string", False, "Whether and how it renews"),
+            FieldDef("governing_law", "string", True, "Whose law applies"),
+            FieldDef("payment_terms", "string", False, "What is paid and when"),
+            FieldDef("obligations", "array", True, "What each party must do"),
+            FieldDef("liability_limit", "string", False, "Up to what a party is liable"),
+            FieldDef("confidentiality_clause", "string", False, "What must be kept secret"),
+            FieldDef("notice_address", "string", False, "Where notices go"),
+        ),
+        "A contract: who agrees to what, for how long.",
+    ),
+    Schema(
+        "financial_model",
+        "Financial Model",
+        (
+            FieldDef("workbook_summary", "string", True, "What the workbook models"),
+            FieldDef("key_sheets", "array", True, "Sheets that matter most"),
+            FieldDef("assumption_cells", "array", True, "Cells that hold inputs"),
+            FieldDef("revenue_drivers", "array", True, "Cells that drive income"),
+            FieldDef("cost_drivers", "array", False, "Cells that drive costs"),
+            FieldDef("output_metrics", "array", True, "Cells that hold results"),
+            FieldDef("hidden_sheet_warnings", "array", False, "What hidden sheets may conceal"),
+        ),
+        "A workbook that models finances: its inputs, drivers and results.",
+    ),
+    Schema(
+        "table",
+        "Table",
+        (
+            FieldDef("headers", "array", True, "Names of the columns"),
+            FieldDef("rows", "array", True, "The records"),
+            FieldDef("row_count", "integer", True, "How many records there are"),
+        ),
+        "One table as records.",
+    ),
+    Schema(
+        "register_spec",
+        "Register Spec",
+        (
+            FieldDef("register_name", "string", True, "The register's name"),
+            FieldDef("base_address", "string", True, "Its address, hexadecimal"),
+            FieldDef("register_width", "integer", False, "Its width in bits"),
+            FieldDef("description", "string", False, "What it does"),
+            FieldDef("bit_fields", "array", True, "Its fields: bits, name, access, reset value"),
+        ),
+        "One hardware register and its bits.",
+    ),
+    Schema(
+        "data_table",
+        "Data Table",
+        (
+            FieldDef("table_name", "string", False, "The table's title"),
+            FieldDef("columns", "array", True, "Names and types of its columns"),
+            FieldDef("rows", "array", True, "Its records"),
+            FieldDef("row_count", "integer", True, "How many records there are"),
+        ),
+        "The largest table, with the types of its columns.",
+    ),
+)
 # Synonyms of field labels, in order.
 SYNONYMS = {
     "vendor_name": ("vendor", "supplier", "from", "bill from", "sold by"),
@@ -50,14 +127,6 @@ SYNONYMS = {
 AUTO = {"invoice": "invoice", "contract": "contract", "financial_model": "financial_model", "spreadsheet": "financial_model"}
 
 
-def _parse(text: str) -> tuple[FieldDef, ...]:
-    out = []
-    for word in text.split():
-        name, _, kind = word.partition(":")
-        out.append(FieldDef(name.rstrip("*"), kind or "string", name.endswith("*")))
-    return tuple(out)
-
-
 def label_variants(name: str) -> list[str]:
     base = name.replace("_", " ")
     return [base, base.title(), base.upper(), *SYNONYMS.get(name, ())]
@@ -65,7 +134,7 @@ def label_variants(name: str) -> list[str]:
 
 class Registry:
     def __init__(self) -> None:
-        self._schemas = {k: Schema(k, k.replace("_", " ").title(), _parse(v)) for k, v in BUILT_IN.items()}
+        self._schemas = {s.id: s for s in BUILT_IN}
 
     def get(self, schema_id: str) -> Schema | None:
         return self._schemas.get(schema_id)
@@ -101,11 +170,7 @@ def to_json_schema(schema: Schema) -> dict:
         if f.items_type:
             p["items"] = {"type": f.items_type}
         properties[f.name] = p | f.constraints
-    return {"title": schema.name, "type": "object", "properties": properties, "required": [f.name for f in schema.fields if f.required]}
-
-
-def renamed(schema: Schema, schema_id: str) -> Schema:
-    return replace(schema, id=schema_id)
+    return {"title": schema.name, "description": schema.description, "type": "object", "properties": properties, "required": [f.name for f in schema.fields if f.required]}
 
 
 def schema_fields(spark: SparkSession, schemas: list[Schema]) -> DataFrame:

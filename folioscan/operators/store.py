@@ -60,6 +60,9 @@ class Store:
             rows = rows.where((F.col("bucket") == bucket) & (F.col("document_id") == document_id))
         return rows.drop("bucket")
 
+    def has(self, name: str) -> bool:
+        return self._schema(name) is not None
+
     def ids(self, name: str = "documents") -> DataFrame:
         return self._read(name).select("document_id").distinct()
 

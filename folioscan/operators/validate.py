@@ -58,11 +58,27 @@ def arithmetic(fields: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 
 def validate(fields: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """All rules, one union."""
-    out = required(fields, schema_fields)
-    for part in (types(fields, schema_fields), citations(fields), low_confidence(fields), arithmetic(fields)):
-        out = out.unionByName(part)
-    return out
+    """All rules, in one pass: the fields of an extraction meet in one row (as many as its schema has), its findings are an array."""
+    item = F.struct("ordinal", "field_path", "value_kind", "value_str", "value_num", "confidence", "citation")
+    docs = fields.groupBy("document_id", "schema_id").agg(F.sort_array(F.collect_list(item)).alias("f"))
+    kinds = schema_fields.groupBy("schema_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "field", "field_type", "required"))).alias("s"))
+    docs = docs.join(F.broadcast(kinds), "schema_id", "left").withColumn("s", F.coalesce("s", F.expr("slice(array(struct(0 as ordinal, '' as field, '' as field_type, false as required)), 1, 0)")))
+
+    def finding(severity: str, rule: str, field: Column, message: Column, status: str = "failed") -> Column:
+        return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule_name"), field.alias("field"), message.alias("message"), F.lit(status).alias("status"))
+
+    first = lambda x: F.try_element_at(F.filter("f", lambda y: y["field_path"] == x["field"]), F.lit(1))["value_kind"]
+    missing = F.transform(F.filter("s", lambda x: x["required"] & first(x).isNull()), lambda x: finding("error", "required_field_missing", x["field"], F.concat(F.lit("Required field missing: "), x["field"])))
+    null = F.transform(F.filter("s", lambda x: x["required"] & (first(x) == "null")), lambda x: finding("error", "required_field_null", x["field"], F.concat(F.lit("Required field is null: "), x["field"])))
+    kind_of = lambda y: F.try_element_at(F.filter("s", lambda x: x["field"] == y["field_path"]), F.lit(1))["field_type"]
+    odd = lambda y: (y["value_kind"] == "list") | to_number(F.regexp_replace(y["value_str"], "[,$€]", "")).isNull()
+    typed = F.filter("f", lambda y: y["value_kind"].isin("string", "list") & kind_of(y).isin("number", "currency", "integer") & odd(y))
+    name = lambda y: F.when(y["value_kind"] == "list", "list").otherwise("str")
+    types_ = F.transform(typed, lambda y: finding("warning", "type_mismatch", y["field_path"], F.concat(F.lit("Expected "), kind_of(y), F.lit(" but got "), name(y))))
+    cited = F.transform(F.filter("f", lambda y: (y["value_kind"] != "null") & y["citation"].isNull()), lambda y: finding("warning", "missing_citation", y["field_path"], F.concat(F.lit("No citation for field: "), y["field_path"])))
+    low = F.transform(F.filter("f", lambda y: (y["value_kind"] != "null") & (y["confidence"] < 0.5)), lambda y: finding("warning", "low_confidence", y["field_path"], F.format_string("Low confidence %.2f", y["confidence"])))
+    out = docs.select("document_id", F.explode(F.concat(missing, null, types_, cited, low)).alias("r")).select("document_id", "r.*")
+    return out.unionByName(arithmetic(fields.where("schema_id = 'invoice'")))
 
 
 def passed(results: DataFrame, documents: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from .operators import build, chunk, export, extract, graph, inspect, schemas, s
 from .operators.store import Store
 from .sources import ingest
 
+WORKBOOKS = ("xlsx", "xls", "csv")
+
 
 class Engine:
     """Tables of the model, from files or from a store; every method answers for all documents, or for those named."""
@@ -16,6 +18,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: Store | None = None):
         self.spark, self.store, self.registry = spark, store, schemas.Registry()
         self.tables: dict[str, DataFrame] = {}
+        self._held: DataFrame | None = None  # elements of the last upload, without a store
 
     # Ingest
 
@@ -34,6 +37,9 @@ class Engine:
                 self.store.save(name, rows)
             self.tables = {name: self.store.load(name) for name in self.tables}
             found.unpersist()
+        elif self._held is not None:
+            self._held.unpersist()
+        self._held = found if self.store is None else None
         return ingest.batch_summary(self.tables["documents"])
 
     def open(self) -> Engine:
@@ -114,8 +120,42 @@ class Engine:
             return extract.register_fields(t("text_blocks"), t("tables"), t("table_cells"))
         if found.id == "data_table":
             return extract.data_table_fields(t("tables"), t("table_cells"))
-        paged = extract.text_fields(t("text_blocks"), found, t("tables").where("page_number is not null"), t("table_cells"))
-        return paged.unionByName(extract.adjacent_fields(t("sheets"), t("tables"), t("table_cells"), found))
+        book = F.col("file_type").isin(*WORKBOOKS)
+        some = lambda n, docs: t(n).join(docs, "document_id", "left_semi")
+        done = t("documents").where("processing_status = 'completed'")
+        paged, books = done.where(~book).select("document_id"), done.where(book).select("document_id")
+        fields = extract.text_fields(some("text_blocks", paged), found, some("tables", paged), some("table_cells", paged), paged)
+        return fields.unionByName(extract.adjacent_fields(some("sheets", books), some("tables", books), some("table_cells", books), found))
+
+    # Extractions that are kept
+
+    def save_extraction(self, fields: DataFrame) -> DataFrame:
+        """Keeps the fields of extractions; (extraction_id, document_id, schema_id) of each. An extraction of the same document and schema is replaced, others of the document stay."""
+        new = fields.withColumn("extraction_id", extract.extraction_id())
+        if self.store.has("extractions"):
+            old = self.store.load("extractions")
+            mine = old.join(new.select("document_id").distinct(), "document_id", "left_semi")
+            new = new.unionByName(mine.join(new.select("extraction_id").distinct(), "extraction_id", "left_anti"))
+        self.store.save("extractions", new)
+        ids = fields.select("document_id", "schema_id").distinct()
+        return ids.select(extract.extraction_id().alias("extraction_id"), "document_id", "schema_id")
+
+    def get_extraction(self, extraction_id: str) -> DataFrame:
+        """The fields kept under an id, in order."""
+        found = self.store.load("extractions").where(F.col("extraction_id") == extraction_id).drop("extraction_id")
+        if found.isEmpty():
+            raise KeyError(f"no extraction {extraction_id}")
+        return found.orderBy("ordinal")
+
+    def list_extractions(self, document_id: str | None = None) -> DataFrame:
+        rows = self.store.load("extractions", document_id)
+        return rows.groupBy("extraction_id", "document_id", "schema_id").agg(F.count("*").alias("fields"), F.avg("confidence").alias("confidence"))
+
+    def validate_extraction(self, extraction_id: str) -> DataFrame:
+        return self.validate(self.get_extraction(extraction_id))
+
+    def export_extraction(self, extraction_id: str, fmt: str) -> DataFrame:
+        return self.export(self.get_extraction(extraction_id), fmt)
 
     def validate(self, fields: DataFrame) -> DataFrame:
         return validate.validate(fields, schemas.schema_fields(self.spark, [self.registry.get(i) for i in self.registry.ids()]))

@@ -35,17 +35,18 @@ def from_bytes(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """Every element of every file; a file that cannot be parsed gives its document row with errors."""
+    """Every element of every file; a file that cannot be parsed gives its document row with errors. The content of files above the size limit is not read."""
+    known = dict(registry.PARSERS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ELEMENTS.split(", ")]
         for batch in batches:
             for path, kind, content in zip(*(batch.column(k) for k in range(3)), strict=True):
-                path, kind, data = path.as_py(), kind.as_py(), content.as_py() or b""
+                path, kind, data = path.as_py(), kind.as_py(), content.as_py()
                 name = path.rsplit("/", 1)[-1]
-                checksum = hashlib.sha256(data).hexdigest()
+                checksum = hashlib.sha256(data or b"").hexdigest()
                 doc = hashlib.sha256(f"{path}\n{checksum}".encode()).hexdigest()[:16]
-                found = registry.parse(kind, data, name)
+                found = registry.parse(kind, data, name, known)
                 about = {k: found[k] for k in ("metadata", "named_ranges", "external_links", "errors")} | {"page_count": len(found["pages"]), "sheet_count": len(found["sheets"])}
                 rows = [("documents", 0, about)]
                 rows += [(t, k, e) for t in ("pages", "text_blocks", "tables", "table_cells", "sheets", "formulas", "figures", "parse_warnings") for k, e in enumerate(found[t])]
@@ -54,7 +55,10 @@ def elements(files: DataFrame) -> DataFrame:
                     columns = [[doc] * len(some), [name] * len(some), [kind] * len(some), [checksum] * len(some), [path] * len(some), [r[0] for r in some], [r[1] for r in some], [json.dumps(r[2], ensure_ascii=False) for r in some]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "ordinal" else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
 
-    typed = files.select("path", registry.file_type(F.col("path")).alias("file_type"), "content")
+    fits = F.col("length") <= registry.MAX_BYTES
+    kind = registry.file_type(F.col("path")).alias("file_type")
+    typed = files.where(fits).select("path", kind, F.coalesce("content", F.lit(b"")).alias("content"))
+    typed = typed.union(files.where(~fits).select("path", kind, F.lit(None).cast("binary")))
     return typed.mapInArrow(parse, ELEMENTS)
 
 

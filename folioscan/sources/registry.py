@@ -15,7 +15,7 @@ PARSERS: dict[str, Callable[[bytes, str], dict]] = {"csv": parsers.parse_csv, "x
 
 
 def register(file_type: str, parser: Callable[[bytes, str], dict]) -> None:
-    """Adds a parser or replaces the one of a type."""
+    """Adds a parser or replaces the one of a type, for reads that start from now on; it travels to the workers with the read."""
     PARSERS[file_type] = parser
 
 
@@ -34,11 +34,11 @@ def mime_type(kind: Column) -> Column:
     return _mapped(kind, schema.MIME_TYPES, "application/octet-stream")
 
 
-def parse(kind: str, data: bytes, name: str) -> dict:
-    """Elements of one file; failures are data: {"errors": [...]}"""
-    if len(data) > MAX_BYTES:
+def parse(kind: str, data: bytes | None, name: str, known: dict[str, Callable[[bytes, str], dict]] | None = None) -> dict:
+    """Elements of one file by the parsers known (None: those registered here); failures are data: {"errors": [...]}. data None: too large to be read."""
+    if data is None or len(data) > MAX_BYTES:
         return parsers.empty(errors=[f"file is larger than {MAX_BYTES} bytes"])
-    parser = PARSERS.get(kind)
+    parser = (PARSERS if known is None else known).get(kind)
     if parser is None:
         reason = {"xls": "xlrd is not installed", "pdf": "PyMuPDF is not installed"}.get(kind, f"No parser available for file type: {kind}")
         return parsers.empty(errors=[reason])

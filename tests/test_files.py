@@ -132,6 +132,23 @@ def test_folder_to_answers(spark, tmp_path):
     table = {r["field_path"]: r for r in engine.extract("data_table", [ids["c.csv"]]).collect()}
     assert table["columns"]["value_list"] == ["product:string", "revenue:integer"] and table["row_count"]["value_num"] == 1
     assert table["rows"]["value_list"] == ['{"product":"Widget","revenue":"5"}']
+    book = {r["field_path"]: r for r in engine.extract("invoice", [ids["b.xlsx"]]).collect()}
+    assert len(book) == 12 and book["total"]["value_num"] == 5 and book["total"]["confidence"] == 0.8
+    assert book["vendor_name"]["value_kind"] == "null" and book["vendor_name"]["confidence"] == 0 and book["vendor_name"]["citation"] is None
+    assert engine.validate(engine.extract("invoice", [ids["b.xlsx"]])).where("rule_name = 'required_field_null' and field = 'vendor_name'").count() == 1
+    kept = {r["schema_id"]: r["extraction_id"] for r in engine.save_extraction(engine.extract("invoice", [ids["a.docx"]])).collect()}
+    kept |= {r["schema_id"]: r["extraction_id"] for r in engine.save_extraction(engine.extract("contract", [ids["a.docx"]])).collect()}
+    engine.save_extraction(engine.extract("invoice", [ids["a.docx"], ids["b.xlsx"]]))
+    assert engine.list_extractions(ids["a.docx"]).count() == 2 and engine.list_extractions().count() == 3
+    again = engine.get_extraction(kept["invoice"])
+    assert {r["field_path"]: r["value_str"] for r in again.collect()} == values and set(again.columns) == set(fields.columns)
+    assert {r["rule_name"] for r in engine.validate_extraction(kept["invoice"]).collect()} == rules
+    assert "Acme Corp" in engine.export_extraction(kept["invoice"], "csv").first()["content"]
+    with pytest.raises(KeyError):
+        engine.get_extraction("none")
+    chunks = engine.chunk(ids=[ids["a.docx"]]).collect()
+    assert any(r["section_path"] for r in chunks) and all(c["snippet"] == r["text"][:100] for r in chunks for c in r["citations"])
+    assert {c["sheet_name"] for r in engine.chunk(chunk.Chunking("table_only"), [ids["c.csv"]]).collect() for c in r["citations"]} == {"Sheet1"}
     store = engine.store
     assert store.load("documents", ids["c.csv"]).count() == 1
     assert store.delete("documents", ids["c.csv"]) and not store.delete("documents", ids["c.csv"])
@@ -152,6 +169,23 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         watch(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"), once=True).awaitTermination(120)
     assert store.load("table_cells").count() == 4
+    assert Engine(spark, store).open().to_markdown().count() == 1
+
+
+def plain_text(data, name):
+    return parsers.empty(text_blocks=[{"page_number": 1, "text": data.decode()}])
+
+
+def test_registered_parsers_reach_the_workers(spark, monkeypatch):
+    registry.register("text", plain_text)
+    try:
+        found = ingest.elements(ingest.from_bytes(spark, {"a.txt": b"hello"}))
+        assert found.where("kind = 'text_blocks'").count() == 1
+    finally:
+        del registry.PARSERS["text"]
+    monkeypatch.setattr(registry, "MAX_BYTES", 3)
+    found = ingest.elements(ingest.from_bytes(spark, {"a.csv": b"a,b\n", "b.csv": b"a\n"}))
+    assert found.where("kind = 'documents' and data like '%larger than%'").count() == 1 and found.where("kind = 'table_cells'").select("document_id").distinct().count() == 1
 
 
 def test_bytes(spark):
