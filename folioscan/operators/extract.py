@@ -45,14 +45,14 @@ def text_fields(blocks: DataFrame, schema: Schema, tables: DataFrame | None = No
         variants: dict[str, int] = {}
         for place, v in enumerate(label_variants(f.name)):
             variants.setdefault(v.lower(), place)
-        tries = []
-        for v, place in variants.items():
-            raw = F.nullif(F.regexp_replace(strip(F.regexp_extract("text", label_pattern(v), 1)), "[;,]+$", ""), F.lit(""))
-            tries.append(F.when(F.contains("folded", F.lit(v)), F.concat(F.lit(f"{place:02d}"), raw)))
-        return F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"), F.coalesce(*tries).alias("best"))
+        place = lambda v, k: F.struct(F.when(F.contains("folded", F.lit(v)), F.regexp_extract("text", label_pattern(v), 1)).alias("raw"), F.lit(k).alias("k"))
+        tries = F.array(*(place(v, k) for v, k in variants.items()))
+        clean = F.transform(tries, lambda x: F.struct(F.regexp_replace(strip(x["raw"]), "[;,]+$", "").alias("raw"), x["k"].alias("k")))
+        best = F.try_element_at(F.filter(clean, lambda x: x["raw"] != ""), F.lit(1))
+        return F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("field_path"), F.lit(f.field_type).alias("field_type"), best.alias("best"))
 
     rows = texts.select("document_id", F.explode(F.array(*(found(k, f) for k, f in enumerate(schema.fields)))).alias("e"))
-    rows = rows.select("document_id", "e.ordinal", "e.field_path", "e.field_type", F.expr("substring(e.best, 3)").alias("value_str"), F.substring("e.best", 1, 2).cast("int").alias("k"))
+    rows = rows.select("document_id", "e.ordinal", "e.field_path", "e.field_type", F.col("e.best.raw").alias("value_str"), F.col("e.best.k").alias("k"))
     raw = F.col("value_str")
     number = F.when(F.col("field_type").isin("number", "currency"), coerce(raw, "number")[1]).when(F.col("field_type") == "integer", coerce(raw, "integer")[1])
     kind = F.when(raw.isNull(), "null").when(number.isNotNull(), "number").otherwise("string")
