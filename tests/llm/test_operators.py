@@ -90,6 +90,33 @@ def test_lm_tells_words_of_a_bucket_apart(spark, usual):
     assert abs(sum(math.exp(found[k]) for k in range(len(counts))) - 1) < 1e-2
 
 
+def test_lm_equals_plain_sums(spark):
+    """Each document's score, token by token in plain loops."""
+    docs = spark.createDataFrame([(k, f"{sentence(k, 25)} rare{k}") for k in range(40)] + [(90, "lone"), (91, "")], "doc_id long, text string")
+    net = lm_scoring.Network(ids=64, buckets=16, class_size=8, width=4, rounds=1, stride=1, batch=64)
+    vocabulary, weights = lm_scoring.trained(docs, net)
+    counts = collections.Counter(w for _, t in docs.collect() for w in t.split())
+    of = lambda w: int(vocabulary.ids(word_hashes(w.encode()))[0])
+    totals = collections.Counter()
+    for w, n in counts.items():
+        totals[of(w)] += n
+    emb, place, bias, uc, bc, uw, bw = (p.astype(float) for p in weights.parts)
+    softmax = lambda z: [math.exp(v) / sum(math.exp(u) for u in z) for v in z]
+    wanted = {}
+    for d, t in docs.collect():
+        words, total = t.split(), 0.0
+        ids = [net.ids] * 2 + [of(w) for w in words] + [net.ids] * 2
+        for k, w in enumerate(words, 2):
+            h = [math.tanh(bias[j] + sum(emb[ids[k + o]][j] * place[p][j] for p, o in enumerate((-2, -1, 1, 2)))) for j in range(net.width)]
+            c, i = divmod(ids[k], net.class_size)
+            total += math.log(softmax([bc[y] + sum(a * b for a, b in zip(h, uc[y], strict=True)) for y in range(net.classes)])[c])
+            total += math.log(softmax([bw[c][y] + sum(a * b for a, b in zip(h, uw[c][y], strict=True)) for y in range(net.class_size)])[i])
+            total += math.log(counts[w] / totals[ids[k]]) if ids[k] >= net.ids - net.buckets else 0.0
+        wanted[d] = total
+    found = {r["doc_id"]: r["log_prob"] for r in lm_scoring.scored(docs, (vocabulary, weights)).collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[d] - wanted[d]) < 1e-3 for d in wanted)
+
+
 def test_lm_awkward(spark):
     docs = awkward(spark)
     net = lm_scoring.Network(ids=128, buckets=64, class_size=16, width=4, rounds=1)
@@ -387,6 +414,34 @@ def test_decontamination_finds_parts(words):
         assert index.hits("x " + t)[k] == (0, 2, 2 + len(t))  # the whole, not a part of it
 
 
+def least_edits(item, text):
+    """Edits of the best place of item in text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            before, row[j] = row[j], min(before + (a != b), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+@pytest.mark.parametrize("scan_chars", [1 << 19, 300])
+def test_decontamination_equals_full_edit_distance(scan_chars):
+    rnd, lemma = random.Random(12), decontam.Lemma(scan_chars=scan_chars, most_chars=80)
+    items = [sentence(k, 7 + k % 3)[: 40 + 3 * k] for k in range(12)]  # too short for parts
+    index = decontam.Index(list(enumerate(items)), lemma)
+    near = 0
+    for k in range(60):
+        t = list(items[k % 12])
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(t))
+            t[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "zz"])
+        text = decontam.normalise(f"{sentence(100 + k, rnd.randint(0, 120))} {''.join(t)} {sentence(300 + k, rnd.randint(0, 30))}")
+        wanted = {i: e for i, item in enumerate(items) if (e := least_edits(decontam.normalise(item), text)) <= lemma.budget(len(decontam.normalise(item)))}
+        assert {i: at[0] for i, at in index.hits(text).items()} == wanted
+        near += len(wanted)
+    assert 10 < near < 60
+
+
 def test_decontamination_tables(spark):
     bench = spark.createDataFrame([(1, sentence(900, 30)), (2, None), (3, ""), (None, sentence(901, 30)), (5, "one two")], "item_id long, text string")
     docs = clashing(awkward(spark).union(spark.createDataFrame([(50, "x " + sentence(900, 30).upper() + " y", "en", "a", 1)], awkward(spark).schema)))
