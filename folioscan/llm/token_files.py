@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions, table, text_slices, tidy
+from .common import BLOCK_BYTES, scratch, shuffle_partitions, table, text_slices, tidy
 
 MAGIC = b"FSTOKENS"
 ENTRY = np.dtype([("doc_id", "<i8"), ("size", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
@@ -114,24 +114,32 @@ class Encoder:
             yield text if not at and end == len(text) else text[at:end]
             at = end
 
-    def _words(self, words: list[str]) -> bytes:
-        distinct = set(words)
+    def _learn(self, distinct: set[str]) -> None:
+        """Makes all these words known."""
         new = [w for w in distinct if w not in self.known]
-        self.again.update(distinct.difference(new))
         if len(self.known) + len(new) > self.tokens.words:  # words that came again stay, half of the room at most
             kept = self.again.union(distinct) if 2 * len(self.again) <= self.tokens.words else distinct
             self.known = {w: self.known[w] for w in kept if w in self.known}
             self.again = set()
+        self.again.update(distinct.difference(new))
         spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new]
         for w, e in zip(new, self.bare.encode_batch_fast(spelled, add_special_tokens=False), strict=True):
             self.known[w] = array.array("I", e.ids).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, the end id included."""
         end = struct.pack("<I", self.tokens.end_id)
-        out: list[bytes] = []
-        for text in texts:
+        parts: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            self._learn(set().union(*(words for _, words in held)))
+            for at, words in held:
+                parts[at].append(b"".join(map(self.known.__getitem__, words)))
+            held.clear()
+
+        for k, text in enumerate(texts):
             text = text or ""
             plain = self.by_words and "<|" not in text
             if plain and not text.isascii():
@@ -139,8 +147,17 @@ class Encoder:
                     text.encode("latin-1")
                 except UnicodeEncodeError:
                     plain = False
-            out.append((b"".join(self._words(self.SPLIT.findall(run.lower())) for run in self._runs(text)) if plain else self._whole(text)) + end)
-        return out
+            if not plain:
+                parts[k].append(self._whole(text))
+                continue
+            for run in self._runs(text):
+                held.append((k, self.SPLIT.findall(run.lower())))
+                size += len(run)
+                if size >= BLOCK_BYTES:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(p) + end for p in parts]
 
 
 _ENCODERS: dict[Tokens, Encoder] = {}
