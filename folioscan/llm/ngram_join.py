@@ -311,10 +311,10 @@ def _compared(pairs: DataFrame, made: DataFrame, parse: Callable, agree: Callabl
 
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(join.partners)).cast("int").alias("salts"))
     salted = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    members = salted.join(made.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "data")
-    leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    leaders = leaders.join(made.withColumnRenamed("doc", "a"), "a").select("a", "salt", "b", "data")
-    dealt = leaders.union(members).repartition(shuffle_partitions(pairs.sparkSession), "a", "salt")
+    members = salted.select(F.col("b").alias("doc"), "a", "salt", F.col("b"))
+    leaders = sizes.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    dealt = members.union(leaders).join(made, "doc").select("a", "salt", "b", "data")  # one join, so that the data are dealt by document once
+    dealt = dealt.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt")
     return dealt.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(tidy(test), "a long, b long").distinct()
 
 
