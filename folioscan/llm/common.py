@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: Bytes of a text hashed in one step.
 HASH_BYTES = 1 << 16
+#: The setting by which a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,31 +57,67 @@ _SCRATCH: list[list[str]] = []
 
 def scratch(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex[:12]}-{label}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    for made in _SCRATCH:
+        made.append(path)
     return path
 
 
+def roots(df: DataFrame) -> list[str]:
+    """The folders that the plan of df reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(i).toString() for i in range(paths.size())]
+    return found
+
+
+def remove(spark: SparkSession, made: list[str], kept: list[str]) -> list[str]:
+    """Removes the scratch folders made, but for those among kept, which are returned."""
+    names = {path.rstrip("/").rpartition("/")[2] for path in kept}
+    left = [path for path in made if path.rpartition("/")[2] in names]
+    for path in made:
+        if path not in left:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return left
+
+
 @contextlib.contextmanager
 def sweep(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Removes the scratch folders that were made inside, but for that of the table given to the function it yields."""
     made, kept = [], []
     _SCRATCH.append(made)
     try:
-        yield lambda df: kept.extend(df.inputFiles()) or df
+        yield lambda df: kept.extend(roots(df)) or df
+    finally:
+        _SCRATCH[:] = [m for m in _SCRATCH if m is not made]
+        remove(spark, made, kept)
+
+
+@contextlib.contextmanager
+def gathered(made: list[str]) -> Iterator[None]:
+    """Adds the scratch folders that are made inside to made."""
+    _SCRATCH.append(made)
+    try:
+        yield
     finally:
-        _SCRATCH.remove(made)
-        for path in made:
-            if not any(f"/{path.rpartition('/')[2]}/" in file for file in kept):
-                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _SCRATCH[:] = [m for m in _SCRATCH if m is not made]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written to a table in the shared folder and read back: lineage is cut, a lost executor costs nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to a table in the shared folder and read back: lineage is cut, a lost executor costs nothing. The shuffle files of the write go with its end."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

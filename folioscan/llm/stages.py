@@ -4,31 +4,55 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 in the shared folder and reads them back as the next one's docs, then removes what the stage left there. All but the last return docs' columns,
 whatever their names; columns other than doc_id, text and source are only carried along. Rows with a null id are judged by their text in
 every stage, null texts are empty, long texts are read whole, an empty table passes all stages.
+
+A stage's result is to be written before the next stage is called: the broadcasts and working tables of a stage
+are let go when the next one starts, but for tables that its docs still read. Token files stay.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import decontam, mixing, ngram_join, token_files, toxicity
-from .common import let_go, materialise, own, sweep, table, unused
+from .common import gathered, let_go, materialise, own, remove, roots, sweep, table, unused
+
+#: Working tables of the stages called so far.
+_LEFT: list[str] = []
+
+
+def _stage(work: Callable) -> Callable:
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go()
+        _LEFT[:] = remove(spark, _LEFT, roots(docs))
+        made: list[str] = []
+        with gathered(made):
+            out = work(spark, docs, sf_dir)
+        if work.__name__ != "write_tokens":
+            _LEFT.extend(made)
+        return out
+
+    return stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is fitted on labelled rows of these documents. Repeated rows share their fate; a null or empty text is scored like any other."""
-    let_go()
     return toxicity.accepted(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows (5-word shingles, Jaccard 0.75 or more) the one with the smallest id, one without an id last; rows without words are no group.
 
     Rows are told apart by a hash of id and text, so null ids and ids with several texts are compared by text like all others. Of rows
     that agree in both, one stays: that with the smallest hash of its columns (maps left out).
     """
-    let_go()
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
     keyed = docs.select("doc_id", "text", row.alias("row"))
     members = ngram_join.components(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
@@ -48,22 +72,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within the edit budget; null and empty texts hold none, repeated rows share their fate."""
-    let_go()
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; documents without words are not taken. Rows that agree in id, source and text are interchangeable."""
-    let_go()
     taken = mixing.mixed(docs).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
+@_stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files; for each document what its frame holds. A repeated document has a frame each time; a null or empty text is the end id alone."""
-    let_go()
     return token_files.tokenised(docs)
 
 
