@@ -56,22 +56,39 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
     keyed = docs.select("doc_id", "text", row.alias("row"))
     members = ngram_join.components(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
-    ids = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("first")
-    found = members.distinct().join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias("row"), F.col("first.times").alias("times"))
-    found = materialise(found, "kept")
+    ids = materialise(keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times")), "ids")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    found = members.distinct().join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    decided = ids.join(found, "row", "left").where("stays is null or times > 1")
     key = unused(docs.columns, "row")
-    rows = docs.select(*own(docs.columns), row.alias(key))
-    kept = lambda some: rows.join(some.select(F.col("row").alias(key)), key, "left_semi")
-    out = kept(found.where("times = 1")).select(own(docs.columns))
-    again = found.where("times > 1")
+    decided = materialise(decided.select(F.col("row").alias(key), F.coalesce("stays", F.lit(False)).alias("stays")), "decided")
+    clear, met = _parted(docs.select(*own(docs.columns), row.alias(key)), decided, key)
+    out = clear.select(own(docs.columns)).union(met.join(decided, key, "left_anti").select(own(docs.columns)))
+    again = decided.where("stays").select(key)
     if not again.isEmpty():
         mark = F.xxhash64(*own([f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]))
-        one = kept(again).groupBy(key).agg(F.min_by(F.struct(own(docs.columns)), mark).alias("kept"))
+        one = met.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(own(docs.columns)), mark).alias("kept"))
         out = out.union(one.select("kept.*"))
     return out
 
 
+def _parted(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose key (a hash) is surely not among those of found, and the others: a join need deal only these, texts and all.
+
+    A bit is set for each key of found in a table of 16 to 32 bits a key, 2^27 bits (16 MB) at most; where more keys fill that, fewer rows are told apart, none wrongly.
+    """
+    bits = min(27, max(15, found.count().bit_length() + 4))
+    place = F.pmod(F.col(key), F.lit(1 << bits))
+    part, bit = F.shiftright(place, 15).cast("int"), (place % (1 << 15)).cast("int")
+    part_name, table_name = unused(rows.columns, "part"), unused(rows.columns, "bits")
+    table = found.groupBy(part.alias(part_name)).agg(F.bitmap_construct_agg(bit.cast("long")).alias(table_name))
+    shown = F.conv(F.hex(F.substring(F.col(table_name), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(shown.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) > 0, F.lit(False))
+    tested = rows.withColumn(part_name, part).join(F.broadcast(table), part_name, "left")
+    part_of = lambda mask: tested.where(mask).select(own(rows.columns))
+    return part_of(~is_set), part_of(is_set)
+
+
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within the edit budget; null and empty texts hold none, repeated rows share their fate."""
